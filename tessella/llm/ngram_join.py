@@ -35,6 +35,8 @@ from tessella.llm.common import components, materialize, salted_join
 MOST_MATCHES = 8
 #: Pivots that a class is verified against in the star step; the step after it is exact.
 PIVOTS = 3
+#: Classes left by the screening (16 bytes each) whose ids are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Share of its shingles that the screening asks a class to have in common with others.
 SCREEN = 0.05
 
@@ -133,21 +135,24 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     docs = docs.select("doc_id", "text")
     screened = materialize(docs.mapInArrow(_screen_rows(size, num, den), "doc_id bigint, n bigint, cid bigint, pre array<bigint>"))
     usable = screened.where("n > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("n", "pre"), "doc_id").alias("x")).select("cid", "rep", "copies", "x.n", "x.pre"))
+    classes = materialize(usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.count_distinct("doc_id").alias("ids")))
 
-    # 1. Screening.
-    tokens = classes.select("cid", "n", F.explode("pre").alias("tok"))
-    shared = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-    found = tokens.join(shared, "tok", "left_semi").groupBy("cid", "n").agg(F.count("*").alias("k"))
-    need = f"1 + least(int({SCREEN} * n), greatest(ceil({num} * n / {den}) - 1, 0))"
-    active = found.where(f"k >= {need}").select("cid").join(classes.select("cid", "rep"), "cid")
+    # 1. Screening. Copies have one cid, so a shingle that only they hold isn't shared.
+    tokens = usable.select("cid", F.explode("pre").alias("tok"))
+    shared = tokens.groupBy("tok").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo != hi").select("tok")
+    need = classes.select("cid", "rep", F.expr(f"copies * (1 + least(int({SCREEN} * n), greatest(ceil({num} * n / {den}) - 1, 0)))").alias("need"))
+    found = tokens.join(shared, "tok", "left_semi").groupBy("cid").agg(F.count("*").alias("k"))
+    active = materialize(found.join(need, "cid").where("k >= need").select("cid", F.col("rep").alias("doc_id")))
 
     # 2. Exact frequencies and prefixes of the classes that are left.
-    sets = docs.join(active.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "cid").mapInArrow(_set_rows(size), "cid bigint, n bigint, sh array<bigint>")
-    sets = materialize(sets.dropDuplicates(["cid"]))
-    rows = sets.select("cid", "n", F.explode("sh").alias("tok"))
+    few = active.count() <= BROADCAST_ROWS
+    sets = docs.join(F.broadcast(active) if few else active, "doc_id").select("text", "cid").mapInArrow(_set_rows(size), "cid bigint, n bigint, sh array<bigint>")
+    if not classes.where("copies > ids").isEmpty():  # a row that repeats text and doc_id would give its set twice
+        sets = sets.dropDuplicates(["cid"])
+    sets = materialize(sets)
+    rows = sets.select("cid", F.explode("sh").alias("tok"))
     df = rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    lists = rows.join(df, "tok").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("ts"))
+    lists = rows.join(df, "tok").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("ts")).join(sets.select("cid", "n"), "cid")
     prefix = materialize(lists.select("cid", "n", "ts").mapInArrow(_prefix_rows(num, den), "tok bigint, pos bigint, cid bigint, n bigint, u bigint, l bigint"))
 
     # 3. Stars.
