@@ -16,6 +16,8 @@ import numpy as np
 
 #: Distinct pieces that a worker keeps; beyond that it starts afresh.
 CACHE = 1_000_000
+#: New pieces that are encoded as lines of one text.
+LINES = 50
 _RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BESIDE = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -56,11 +58,12 @@ class Encoder:
         texts = [x[1:] if x[:1] == " " else " " + x for x in pieces]
         lines = [k for k, x in enumerate(texts) if x[:1] == " " and len(x) > 1 and "\n" not in x] if self.line else []
         found: list = [None] * len(pieces)
-        if lines:
-            ids = np.array(self.whole(["\n".join(texts[k] for k in lines)])[0], np.uint32)
+        groups = [lines[k : k + LINES] for k in range(0, len(lines), LINES)]
+        for group, ids in zip(groups, self.whole(["\n".join([texts[k] for k in g]) for g in groups]), strict=True):
+            ids = np.array(ids, np.uint32)
             ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
-            if len(ends) == len(lines):
-                for k, a, b in zip(lines, np.append(0, ends[:-1] + 1).tolist(), ends.tolist(), strict=True):
+            if len(ends) == len(group):
+                for k, a, b in zip(group, np.append(0, ends[:-1] + 1).tolist(), ends.tolist(), strict=True):
                     found[k] = ids[a:b]
         rest = [k for k, x in enumerate(found) if x is None]
         for k, x in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
@@ -89,8 +92,8 @@ class Encoder:
                 pieces.extend(t.split(" "))
                 pieces[n] = " " + pieces[n]
                 counts.append(len(pieces) - n)
-        if new := list(set(pieces).difference(self.number)):
-            self._learn(new)
+        if new := set(pieces).difference(self.number):
+            self._learn(sorted(new))
         hard = iter(self.whole([t for t, ok in zip(texts, easy, strict=True) if t and not ok]))
         numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         sizes = self.size[numbers]
