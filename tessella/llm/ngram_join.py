@@ -11,12 +11,13 @@ an overlap of at least T share at least l shingles among their first ``size - T
 2. Among the rest, shingles are ordered by their exact document frequency. Each class lengthens its
    own prefix (l = 1 .. `MOST_MATCHES`) while the estimated cost falls: postings to scan, plus
    ``postings / l`` candidates to verify. A pair has to share ``min(l_x, l_y)`` prefix shingles,
-   counted only where the sizes of that pair allow (length and position filters).
-3. Candidates that a component can do without are never made: every posting list is first verified
-   against its most central member (a star, linear in the list), the links become components, and
-   then only pairs of *different* components that share a list become candidates. A list whose
-   members are all in one component yields nothing, so large groups of near copies stay linear,
-   while no link between components is lost.
+   counted only where the sizes of that pair allow (length and position filters; shingles that
+   nobody else has can't be in an overlap).
+3. Candidates that a component can do without are never made: posting lists are first verified
+   against their most central member (a star, linear in the list), and the links become components.
+   Then only pairs of *different* components become candidates: in short lists by shared prefix
+   shingles as above, in long lists by shared differences from the pivot (`_by_difference`). So
+   large groups of near copies don't cost a row a pair, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from tessella.llm.common import components, materialize, salted_join
 
 #: Most prefix shingles that a pair may be asked to share.
 MOST_MATCHES = 8
-#: Pivots that a class is verified against in the star step; the step after it is exact.
+#: Pivots of short lists that a class is verified against; the step after it is exact.
 PIVOTS = 3
+#: Members beyond which a posting list is long.
+LONG = 64
 #: Classes left by the screening (16 bytes each) whose ids are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Share of its shingles that the screening asks a class to have in common with others.
@@ -116,12 +119,35 @@ def _prefix_rows(num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, long) with both sizes, the overlap and, if long, the symmetric difference."""
     pairs = pairs.join(sets.select(F.col("cid").alias("a"), F.col("sh").alias("sa")), "a")
     pairs = pairs.join(sets.select(F.col("cid").alias("b"), F.col("sh").alias("sb")), "b")
-    pairs = pairs.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return pairs.where(f"{den} * both >= {num} * (na + nb - both)").select("a", "b")
+    diff = F.when(F.col("long"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
+    return pairs.select("a", "b", "long", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"), diff.alias("diff"))
+
+
+def _by_difference(star: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """Linked pairs (a, b) of different components among the members of each pivot.
+
+    With E the symmetric difference from the pivot, x and y differ in |E(x)| + |E(y)| - 2 k
+    shingles, k being those that E(x) and E(y) share. They link when that is at most
+    ``(|x| + |y|) (den - num) / (den + num)``. If the first two terms are within it, both link with
+    the pivot and are in one component already; so only members that share a difference are left,
+    and k alone decides.
+    """
+    member = star.select(F.col("b").alias("p"), F.col("a").alias("cid"), F.col("na").alias("n"), F.size("diff").alias("e"), "diff").join(comps, "cid")
+    item = materialize(member.select("p", "cid", "n", "e", "comp", F.explode("diff").alias("el")))
+    mixed = item.groupBy("p", "el").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("p", "el")
+    main = member.groupBy("p", "comp").agg(F.count("*").alias("c")).groupBy("p").agg(F.max(F.struct("c", "comp")).alias("m")).select("p", F.col("m.comp").alias("main"))
+    item = salted_join(salted_join(item, mixed, ["p", "el"], "left_semi", salts=4), main, ["p"])
+    item = materialize(item.withColumn("r", F.count("*").over(Window.partitionBy("p", "cid"))))
+    x, y = item.where("comp != main").alias("x"), item.alias("y")
+    over = f"(x.e + y.e) * {den + num} - (x.n + y.n) * {den - num}"
+    pair = x.join(y, F.expr(f"""x.p = y.p and x.el = y.el and x.comp != y.comp and (y.comp = y.main or x.cid < y.cid)
+        and {over} <= least(x.r, y.r) * {2 * (den + num)}"""))
+    pair = pair.groupBy(F.expr("x.p").alias("p"), F.expr("x.cid").alias("a"), F.expr("y.cid").alias("b"), F.expr(over).alias("over")).agg(F.count("*").alias("k"))
+    return pair.where(f"over <= k * {2 * (den + num)}").select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -155,25 +181,32 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     lists = rows.join(df, "tok").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("ts")).join(sets.select("cid", "n"), "cid")
     prefix = materialize(lists.select("cid", "n", "ts").mapInArrow(_prefix_rows(num, den), "tok bigint, pos bigint, cid bigint, n bigint, u bigint, l bigint"))
 
-    # 3. Stars.
-    pivot = prefix.groupBy("tok").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("r"), F.col("cid").alias("b"), F.col("n").alias("bn"))).alias("p")).select("tok", "p.b", "p.bn")
-    votes = salted_join(prefix.select("tok", F.col("cid").alias("a"), "n"), pivot, ["tok"]).where(f"a != b and {den} * least(n, bn) >= {num} * greatest(n, bn)")
-    votes = votes.groupBy("a", "b").agg(F.count("*").alias("v"))
-    best = votes.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("v"), "b"))).where(f"r <= {PIVOTS}")
-    links = materialize(_verified(best.select("a", "b"), sets, num, den))
+    # 3. Stars. In long lists every member is compared with the pivot, and keeps its difference.
+    pivot = prefix.groupBy("tok").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("r"), F.col("cid").alias("b"), F.col("n").alias("bn"))).alias("p"), F.count("*").alias("size"))
+    pivot = materialize(pivot.select("tok", "p.b", "p.bn", (F.col("size") > LONG).alias("long")))
+    votes = salted_join(prefix.select("tok", F.col("cid").alias("a"), "n"), pivot, ["tok"]).where(f"a != b and (long or {den} * least(n, bn) >= {num} * greatest(n, bn))")
+    votes = votes.groupBy("a", "b").agg(F.count("*").alias("v"), F.max("long").alias("long"))
+    best = votes.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("v"), "b"))).where(f"long or r <= {PIVOTS}")
+    star = materialize(_compared(best.select("a", "b", "long"), sets))
+    linked = f"{den} * both >= {num} * (na + nb - both)"
+    links = star.where(linked).select("a", "b")
     groups = components(links)
 
-    # 4. What links different components.
-    placed = materialize(prefix.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root", "u"))
-    mixed = placed.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).where("k > 1")
-    placed = materialize(salted_join(placed, mixed.select("tok", F.col("m.comp").alias("main")), ["tok"]))
-    x, y = placed.where("comp != main").alias("x"), placed.alias("y")
+    # 4. What links different components: from short lists by shared prefix shingles,
+    placed = materialize(prefix.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root"))
+    short = salted_join(placed, pivot.where("not long").select("tok"), ["tok"], "left_semi")
+    mixed = short.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).where("k > 1")
+    short = materialize(salted_join(short, mixed.select("tok", F.col("m.comp").alias("main")), ["tok"]))
+    x, y = short.where("comp != main").alias("x"), short.alias("y")
     least = f"ceil({num} * (x.n + y.n) / {den + num})"
     near = x.join(y, F.expr(f"""x.tok = y.tok and x.comp != y.comp and (y.comp = y.main or x.cid < y.cid)
         and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)
+        and x.n - x.u >= {least} and y.n - y.u >= {least}
         and x.pos < x.n - {least} + least(x.l, y.l) and y.pos < y.n - {least} + least(x.l, y.l)"""))
     near = near.groupBy(F.expr("least(x.cid, y.cid)").alias("a"), F.expr("greatest(x.cid, y.cid)").alias("b"), F.expr("least(x.l, y.l)").alias("l")).agg(F.count("*").alias("k")).where("k >= l")
-    more = materialize(_verified(near.select("a", "b"), sets, num, den))
+    more = _compared(near.select("a", "b", F.lit(False).alias("long")), sets).where(linked).select("a", "b")
+    # and from long lists by shared differences from the pivot.
+    more = materialize(more.unionByName(_by_difference(star.where("long"), placed.select("cid", "comp").distinct(), num, den)))
     if not more.isEmpty():
         groups = components(links.unionByName(more))
 
