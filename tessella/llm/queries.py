@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ngram_join, packing, token_file
+from tessella.llm import ngram_join, packing, span_dedup, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
 def op4_bit_plane_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(_table(spark, sf_dir, "documents"), end_id=2)
 
@@ -27,7 +31,7 @@ def op8_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bit_plane_token_file, op5_ngram_jaccard_join, op8_cutting_stock_packing)}
+    return {f.__name__: f for f in (op2_sentence_span_dedup, op4_bit_plane_token_file, op5_ngram_jaccard_join, op8_cutting_stock_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
