@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -51,34 +52,38 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Number the pieces, whose ids lie one after another in ``ids``."""
+        n = len(self.number)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+        if n + len(pieces) > len(self.start):
+            self.start, self.size = (np.resize(x, 2 * (n + len(pieces))) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(pieces)] = sizes
+        self.used += len(ids)
+        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
     def _learn(self, pieces: list[str]) -> None:
-        """Number new pieces and keep their ids. A piece that begins with a space is a text's first,
-        without that space; others follow a space. Those in one line are encoded as lines of one
-        text, which costs half as much as a text each."""
-        texts = [x[1:] if x[:1] == " " else " " + x for x in pieces]
-        lines = [k for k, x in enumerate(texts) if x[:1] == " " and len(x) > 1 and "\n" not in x] if self.line else []
-        found: list = [None] * len(pieces)
+        """Encode new pieces. One that begins with a space is a text's first, without that space;
+        others follow a space. Those without a line break are encoded as lines of a few texts, which
+        costs half as much as a text each."""
+        lines = [x for x in pieces if x and x[0] != " " and "\n" not in x] if self.line else []
         groups = [lines[k : k + LINES] for k in range(0, len(lines), LINES)]
-        for group, ids in zip(groups, self.whole(["\n".join([texts[k] for k in g]) for g in groups]), strict=True):
-            ids = np.array(ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+        alone = [x for x in pieces if not x or x[0] == " " or "\n" in x] if self.line else pieces
+        for group, found in zip(groups, self.whole([" " + "\n ".join(g) for g in groups]), strict=True):
+            ids = np.array(found, np.uint32)
+            breaks = ids == self.line[0]
+            ends = np.append(np.flatnonzero(breaks), len(ids))
             if len(ends) == len(group):
-                for k, a, b in zip(group, np.append(0, ends[:-1] + 1).tolist(), ends.tolist(), strict=True):
-                    found[k] = ids[a:b]
-        rest = [k for k, x in enumerate(found) if x is None]
-        for k, x in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
-            found[k] = np.array(x, np.uint32)
-        n, sizes = len(self.number), np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + total))
-        if n + len(found) > len(self.start):
-            self.start, self.size = (np.resize(x, 2 * (n + len(found))) for x in (self.start, self.size))
-        self.flat[self.used : self.used + total] = np.concatenate(found)
-        self.start[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(found)] = sizes
-        self.used += total
-        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+                self._keep(group, ids[~breaks], np.diff(ends, prepend=-1) - 1)
+            else:
+                alone += group
+        if alone:
+            found = self.whole([x[1:] if x[:1] == " " else " " + x for x in alone])
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._keep(alone, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as uint32."""
@@ -92,10 +97,13 @@ class Encoder:
                 pieces.extend(t.split(" "))
                 pieces[n] = " " + pieces[n]
                 counts.append(len(pieces) - n)
-        if new := set(pieces).difference(self.number):
-            self._learn(sorted(new))
+        numbers = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new = [pieces[k] for k in missing.tolist()]
+            self._learn(sorted(set(new)))
+            numbers[missing] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
         hard = iter(self.whole([t for t, ok in zip(texts, easy, strict=True) if t and not ok]))
-        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         sizes = self.size[numbers]
         after = np.cumsum(sizes)
         flat = self.flat[np.repeat(self.start[numbers] - after + sizes, sizes) + np.arange(int(sizes.sum()))]
