@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, ngram_join, packing, span_dedup, token_file
+from tessella.llm import langid, ngram_join, packing, ppm, span_dedup, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    """The remainder of the checksum of doc_id as text, which deals documents to folds."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
+    return ppm.score(docs.select("doc_id", held_out.alias("held_out"), "text"), *ppm.fit(docs.where(~held_out)))
+
+
 def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
@@ -26,11 +37,6 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
-def _remainder(n: int):
-    """The remainder of the checksum of doc_id as text, which deals documents to folds."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
-
-
 def op7_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
@@ -43,7 +49,7 @@ def op8_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentence_span_dedup, op4_bit_plane_token_file, op5_ngram_jaccard_join, op7_language_bloom, op8_cutting_stock_packing)}
+    return {f.__name__: f for f in (op1_ppm_scoring, op2_sentence_span_dedup, op4_bit_plane_token_file, op5_ngram_jaccard_join, op7_language_bloom, op8_cutting_stock_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
