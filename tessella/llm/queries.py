@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import langid, ngram_join, packing, ppm, span_dedup, token_file
+from tessella.llm import embedding_dedup, langid, ngram_join, packing, ppm, span_dedup, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +48,12 @@ def op8_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), capacity=1024, end_id=0)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm_scoring, op2_sentence_span_dedup, op4_bit_plane_token_file, op5_ngram_jaccard_join, op7_language_bloom, op8_cutting_stock_packing)}
+    return {f.__name__: f for f in (op1_ppm_scoring, op2_sentence_span_dedup, op4_bit_plane_token_file, op5_ngram_jaccard_join, op7_language_bloom, op8_cutting_stock_packing, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
