@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import embedding_dedup, langid, ngram_join, packing, ppm, span_dedup, token_file
+from tessella.llm import embedding_dedup, langid, ngram_join, packing, ppm, span_dedup, token_file, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,26 @@ def op8_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), capacity=1024, end_id=0)
 
 
+#: The listed url rules.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op9_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are those of the document that a page shows, whose number ends the url's path; a page
+    is bad if that document is of low quality or toxic."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.expr("quality = 0 or toxic = 1").alias("bad"))
+    number = F.expr("try_cast(nullif(regexp_extract(url, '/([0-9]+)(?:[.]html)?/?(?:[?#].*)?$', 1), '') as bigint)")
+    labelled = pages.select("url", number.alias("doc_id")).where("doc_id is not null").join(labels, "doc_id").select("url", "bad")
+    return url_rules.judge(pages, URL_RULES, url_rules.mine(labelled))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm_scoring, op2_sentence_span_dedup, op4_bit_plane_token_file, op5_ngram_jaccard_join, op7_language_bloom, op8_cutting_stock_packing, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_ppm_scoring, op2_sentence_span_dedup, op4_bit_plane_token_file, op5_ngram_jaccard_join, op7_language_bloom, op8_cutting_stock_packing, op9_url_association_rules, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
