@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import embedding_dedup, langid, ngram_join, packing, ppm, span_dedup, token_file, url_rules
+from tessella.llm import decontamination, embedding_dedup, html_text, langid, ngram_join, packing, ppm, span_dedup, token_file, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_bit_plane_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(_table(spark, sf_dir, "documents"), end_id=2)
 
@@ -37,6 +41,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op6_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.flag(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "coverage", "items", (F.size("items") > 0).alias("contaminated"))
+
+
 def op7_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
@@ -67,7 +76,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm_scoring, op2_sentence_span_dedup, op4_bit_plane_token_file, op5_ngram_jaccard_join, op7_language_bloom, op8_cutting_stock_packing, op9_url_association_rules, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_ppm_scoring, op2_sentence_span_dedup, op3_html_main_text, op4_bit_plane_token_file, op5_ngram_jaccard_join, op6_greedy_string_tiling, op7_language_bloom, op8_cutting_stock_packing, op9_url_association_rules, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

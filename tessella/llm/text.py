@@ -22,6 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
+#: Bytes of words without punctuation: ASCII letters and digits, and all bytes beyond ASCII.
+IS_ALNUM = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -72,10 +74,10 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the row that holds it."""
     n = len(data)
-    inside = IS_WORD[data]
+    inside = table[data]
     inner = offsets[(offsets > 0) & (offsets < n)]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
