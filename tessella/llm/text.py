@@ -89,14 +89,14 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IS_WORD) ->
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of lower-cased bytes."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, by default lower-cased."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     n = len(data)
     run = np.empty(n + 1, np.uint64)
     run[0] = 0
-    np.cumsum(_VALUES[LOWER[data]] * _power(_BASE, n), out=run[1:])
+    np.cumsum(_VALUES[LOWER[data] if lower else data] * _power(_BASE, n), out=run[1:])
     return mix((run[ends] - run[starts]) * _power(_INVERSE, n + 1)[starts])
 
 
