@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Key salts of `salted_join`; a key's rows go to as many tasks at most.
 SALTS = 16
@@ -24,6 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without extra columns that would clash with an operator's own (in any case)."""
+    return df.select([f"`{c}`" for c in df.columns if c.lower() not in names])
+
+
+def schema_with(df: DataFrame, added: str) -> StructType:
+    """The columns of ``df``, then those that ``added`` declares."""
+    return StructType(df.schema.fields + StructType.fromDDL(added).fields)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there,
     the copy outlives any executor."""
@@ -36,7 +47,8 @@ def materialize(df: DataFrame) -> DataFrame:
 def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``rows`` joined with ``unique`` (one row a key): a hot key's rows are dealt to ``salts``
     tasks, each with its own copy of the key's row. ``how``: inner, left or left_semi."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    spread_by = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     spread = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 

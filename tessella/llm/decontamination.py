@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import text as T
-from tessella.llm.common import materialize
+from tessella.llm.common import materialize, without
 
 #: Tokens of a match; an item of fewer tokens has to be found whole.
 MIN_MATCH = 5
@@ -140,19 +140,18 @@ def flag(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_
 
     ``benchmark`` has item_id and text; null ids, and texts without a token, are passed over. Null
     and empty texts have no items. Rows that repeat are flagged alike; an item that repeats under one
-    id is listed once a row of the benchmark. Empty tables give no rows, or no items. Columns named
-    items or coverage are not allowed.
+    id is listed once a row of the benchmark. Empty tables give no rows, or no items. An extra
+    column named items or coverage gives way.
     """
     spark = docs.sparkSession
     benchmark = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text")
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(1.5 * size / BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    out = docs.withColumns({"items": F.expr("cast(array() as array<bigint>)"), "coverage": F.lit(0.0)})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    out = without(docs, "items", "coverage").withColumns({"items": F.expr("cast(array() as array<bigint>)"), "coverage": F.lit(0.0)})
     for k in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toPandas()
-        shared = spark.sparkContext.broadcast(Items(part["item_id"].tolist(), part["text"].tolist(), min_match))
-        out = out.mapInArrow(_flag_rows(shared, out.columns, coverage), schema)
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
+        shared = spark.sparkContext.broadcast(Items(part.column("item_id").to_pylist(), part.column("text").to_pylist(), min_match))
+        out = out.mapInArrow(_flag_rows(shared, out.columns, coverage), out.schema)
         if blocks > 1:
             out = materialize(out)
             shared.destroy()

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessella.llm.common import schema_with, without
+
 #: Elements without text of the page: what they hold is passed over up to their end tag.
 _RAW = "script style title textarea noscript template iframe object svg canvas audio video select button datalist".split()
 #: Elements that end a block.
@@ -221,14 +223,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty page has an empty text. Malformed markup is read as browsers would: elements
     end where their parents do. Rows that repeat give the same text; an empty table gives no rows.
-    Columns named text or n_chars are not allowed.
+    An extra column named text or n_chars gives way.
     """
-    names = [c for c in pages.columns if c != "html"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*names).schema)
+    rest = without(pages, "html", "text", "n_chars")
+    names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x) for x in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    return pages.select(*names, "html").mapInArrow(run, f"{schema}{', ' if names else ''}text string, n_chars bigint")
+    return pages.select(*[f"`{c}`" for c in names], "html").mapInArrow(run, schema_with(rest, "text string, n_chars bigint"))

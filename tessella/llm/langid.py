@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import schema_with, without
 from tessella.llm.text import mix
 
 #: Labelled texts of each language that a filter is fitted on, about (drawn by a hash of the id).
@@ -144,7 +145,7 @@ class Model:
 def fit(labelled: DataFrame, fit_texts: int = FIT_TEXTS) -> Model:
     """A model of the texts and languages in ``labelled`` (doc_id, text, lang); rows with a null text
     or language don't count."""
-    labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string"))
     sizes = dict(sorted(map(tuple, labelled.groupBy("lang").count().collect())))  # one row a language
     langs = list(sizes)
     if not langs:
@@ -155,8 +156,8 @@ def fit(labelled: DataFrame, fit_texts: int = FIT_TEXTS) -> Model:
     texts = dict(map(tuple, drawn.groupBy("lang").count().collect()))
     least = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (k, max(1, int(np.ceil(MIN_SHARE * texts.get(lang, 0)))))])
     rows = drawn.mapInArrow(_gram_rows(langs), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = rows.where(F.col("n") >= least[F.col("lang")]).toPandas()  # n-grams of a text / MIN_SHARE a language at most
-    lang, gram, n = rows["lang"].to_numpy(np.int64), rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
+    rows = rows.where(F.col("n") >= least[F.col("lang")]).toArrow()  # n-grams of a text / MIN_SHARE a language at most
+    lang, gram, n = (rows.column(c).to_numpy().astype(t) for c, t in (("lang", np.int64), ("gram", np.int64), ("n", np.float64)))
     share = n / np.array([max(texts.get(x, 0), 1) for x in langs], float)[lang]
     _, same = np.unique(gram, return_inverse=True)
     top = np.zeros(same.max(initial=-1) + 1)
@@ -169,11 +170,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1). Only the text counts.
 
     Null and empty texts and texts without a letter are ``und`` with score 0; a text with letters
-    always gets a learned language. An empty table gives no rows. Columns named lang_pred or score
-    are not allowed.
+    always gets a learned language, if any is. An empty table gives no rows. Rows that repeat are
+    predicted alike; an extra column with one of the new names gives way to it.
     """
+    docs = without(docs, "lang_pred", "score")
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,4 +182,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = list(shared.value.predict([t or "" for t in batch.column(names.index("text")).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, schema_with(docs, "lang_pred string, score double"))

@@ -158,7 +158,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     doc_id are linked with nothing and have a null component_id. Rows that repeat a text, under the
     same doc_id or another, are in one component. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     screened = materialize(docs.mapInArrow(_screen_rows(size, num, den), "doc_id bigint, n bigint, cid bigint, pre array<bigint>"))
     usable = screened.where("n > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.count_distinct("doc_id").alias("ids")))

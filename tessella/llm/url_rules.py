@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, salted_join
+from tessella.llm.common import materialize, salted_join, without
 
 #: Least share of labelled urls that a combination and the label have; and how sure a rule is.
 SUPPORT, CONFIDENCE, LIFT = 0.002, 0.7, 1.5
@@ -90,9 +90,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame) -> D
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed.
     Where no listed rule fits, a url that a mined rule fits is blocked, any other is allowed. Rows
     that repeat are judged alike; an empty table gives no rows. The url of a row decides alone:
-    further columns are kept, but must not have the names of the new ones.
+    further columns are kept, but give way to new ones of the same name.
     """
-    kept = [c for c in pages.columns if c != "url"]
+    kept = without(pages, "url", "host", "path", "rule", "verdict", "mined", "_listed", "_need", "_salt").columns
+    kept = [f"`{c}`" for c in kept]
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     out = pages.select(*kept, "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     out = out.withColumns({"rule": rule, "_listed": verdict})
