@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import text as T
-from tessella.llm.common import materialize, salted_join
+from tessella.llm.common import materialize, salted_join, schema_with, without
 
 #: Words that a span has at least; with fewer, everyday sentences would meet by chance.
 MIN_WORDS = 16
@@ -53,11 +53,15 @@ def _spans(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[at]
     first = np.append(np.searchsorted(begin, at), len(begin))  # word that each sentence begins with
     m = len(at)
-    stop = np.maximum(np.searchsorted(first, first[:m] + min_words), np.arange(m) + 2)
-    ok = np.flatnonzero((stop <= m) & (first[np.minimum(stop, m)] - first[:m] >= min_words) & (np.diff(first) > 0))
+    some, k = np.diff(first) > 0, np.arange(m)
+    stop = np.maximum(np.searchsorted(first, first[:m] + min_words), k + 2)
+    ok = some & (stop <= m)
+    go = np.minimum(np.searchsorted(first, first[1:] - min_words, side="right") - 1, k - 1)
+    back = some & (go >= 0) & (first[1:] - first[np.maximum(go, 0)] >= min_words)
+    both = np.unique(np.append(k[ok] * (m + 1) + stop[ok], go[back] * (m + 1) + k[back] + 1))
+    ok, stop = both // (m + 1), both % (m + 1)
     if not len(ok):
         return none
-    stop = stop[ok]
     h = T.span_hashes(data, begin, end)
     run = np.append(np.uint64(0), np.cumsum(h * T._power(T._BASE, len(h))))
     a, b = first[ok], first[stop]
@@ -115,8 +119,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Every row stays; a text that others cover wholly becomes empty. Null texts stay null. Rows
     without a doc_id are left alone and cover nothing. Rows that repeat a doc_id count as one
     document at the same positions, so exact repeats of a row stay alike. An empty table gives no
-    rows. Columns named _spans or n_removed are not allowed.
+    rows. An extra column named _spans or n_removed gives way.
     """
+    docs = without(docs, "_spans", "n_removed")
     spans = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_span_rows(min_words), "doc_id bigint, h bigint, i int, j int, again boolean")
     spans = materialize(spans)
     first = spans.groupBy("h").agg(F.min("doc_id").alias("d0"), F.count("*").alias("c")).where("c > 1").select("h", "d0")
@@ -124,10 +129,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = materialize(marked.groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("_spans")))
     rows, many = marked.agg(F.count("*"), F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()
     few = rows + many <= BROADCAST_ROWS
-    names = docs.columns
-    joined = docs.join(F.broadcast(marked) if few else marked, "doc_id", "left").select(*names, "_spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_cut_rows, f"{schema}, n_removed bigint")
+    joined = docs.join(F.broadcast(marked) if few else marked, "doc_id", "left").select(*[f"`{c}`" for c in docs.columns], "_spans")
+    return joined.mapInArrow(_cut_rows, schema_with(docs, "n_removed bigint"))
 
 
 #: Marked documents and spans (8 bytes each) up to which the marks are broadcast to the texts.
