@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import text as T
-from tessella.llm.common import materialize
+from tessella.llm.common import materialize, schema_with, without
 
 ORDER = 5
 #: Contexts that a trie keeps: 0.6 KB each where a hundred different bytes are in use.
@@ -52,7 +52,7 @@ class Model:
         wide = len(seen) + 1
         self.symbol = np.full(256, wide - 1, np.int64)
         self.symbol[seen] = np.arange(len(seen))
-        uniform = np.full((1, wide), -math.log10(256 - len(seen)) if len(seen) < 256 else 0.0)
+        uniform = np.full((1, wide), -math.log10(256 - len(seen)) if len(seen) < 256 else 0.0, np.float32)
         costs, children, before, first = [], [], None, 0
         for k, (context, byte, n) in enumerate(levels if len(seen) else []):
             names, row = np.unique(context, return_inverse=True)
@@ -63,15 +63,14 @@ class Model:
                 parent = np.searchsorted(before[0], names & ((1 << 8 * (k - 1)) - 1))
                 children.append((before[1] + parent, self.symbol[names >> 8 * (k - 1)], first + np.arange(len(names))))
                 lower = before[2][parent]
-                held = np.where(counts > 0, 0, lower)
-                below = self._shared(held, before[3][parent])
+                below = self._shared(np.where(counts > 0, 0, lower).astype(np.float32), before[3][parent])
             else:
                 below = uniform
             costs.append(self._shared(counts, below))
             # what a byte costs below a context: by itself, and where a longer one has excluded some
             before = (names, first, counts, below)
             first += len(names)
-        self.cost = np.concatenate(costs).astype(np.float32) if costs else uniform.astype(np.float32)
+        self.cost = np.concatenate(costs) if costs else uniform
         self.child = np.zeros((len(self.cost), wide), np.int32)
         for parent, symbol, node in children:
             self.child[parent, symbol] = node
@@ -82,8 +81,12 @@ class Model:
         what they cost below."""
         total, once = held.sum(1, keepdims=True, dtype=np.float64), (held == 1).sum(1, keepdims=True)
         whole = total + once + 1
-        with np.errstate(divide="ignore"):
-            return np.where(held > 0, np.log10(held / whole), np.where(total > 0, np.log10((once + 1) / whole), 0) + below)
+        out = below + np.where(total > 0, np.log10((once + 1) / whole), 0).astype(np.float32)
+        for lo in range(0, len(held), 2048):
+            part = slice(lo, lo + 2048)
+            row, col = np.nonzero(held[part])
+            out[lo + row, col] = np.log10(held[part][row, col] / whole[lo + row, 0])
+        return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 of the probability of each text, its end included."""
@@ -193,9 +196,9 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, dict[str, int]]:
     level = materialize(level)
     # A context's suffixes have its count at least; of equal counts the shorter context comes first.
     kept = level.groupBy("k", "c").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "k", "c").limit(NODES).select("k", "c")
-    rows = level.join(F.broadcast(kept), ["k", "c"]).toPandas()
-    parts = [rows[rows["k"] == k] for k in range(ORDER + 1)]
-    contexts = [tuple(x[c].to_numpy(np.int64) for c in "cbn") for x in parts]
+    rows = level.join(F.broadcast(kept), ["k", "c"]).toArrow()
+    depth, *cols = (rows.column(c).to_numpy().astype(np.int64) for c in "kcbn")
+    contexts = [tuple(x[depth == k] for x in cols) for k in range(ORDER + 1)]
     return Model(contexts), words, {"tokens": tokens + texts, "distinct": distinct + (texts > 0), "texts": texts}
 
 
@@ -228,7 +231,7 @@ def _score_rows(shared, columns: int):
                         pa.array(known + end[1]),
                         pa.ListArray.from_arrays(bounds, h),
                     ],
-                    [*batch.schema.names[:columns], "score", "n_tokens", "base", "known", "rare"],
+                    [*batch.schema.names[:columns], "score", "n_tokens", "_base", "_known", "_rare"],
                 )
 
     return run
@@ -241,28 +244,29 @@ def score(docs: DataFrame, model: Model, words: DataFrame, sizes: dict[str, int]
 
     Null texts are empty: they have the end token alone. Rows that repeat a doc_id are scored each
     on its own. An empty table gives no rows; with nothing to learn from, every byte is as likely
-    as any other. Further columns must not have the names of the new ones, or begin with "_".
+    as any other. Further columns are kept, but give way to new ones
+    of the same name (and to _uid, _base, _known and _rare).
     """
     spark: SparkSession = docs.sparkSession
     n, v = sizes["tokens"], sizes["distinct"]
     below = math.log10(n + v + 1)
-    often = words.where(F.col("n") >= max(1.0, COMMON * n)).toPandas().sort_values("key")  # 1 / COMMON words at most
-    keys, logs = often["key"].to_numpy(np.int64), np.log10(often["n"].to_numpy(np.float64) + 1) - below
+    often = words.where(F.col("n") >= max(1.0, COMMON * n)).toArrow().sort_by("key")  # 1 / COMMON words at most
+    keys, logs = often.column("key").to_numpy().astype(np.int64), np.log10(often.column("n").to_numpy().astype(np.float64) + 1) - below
     end = (math.log10(sizes["texts"] + 1) - below, int(sizes["texts"] > 0))
     shared = spark.sparkContext.broadcast((model, keys, logs, end))
-    kept = [c for c in docs.columns if c != "text"]
+    rest = without(docs, "text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_uid", "_base", "_known", "_rare")
+    kept = [f"`{c}`" for c in rest.columns]
     numbered = docs.select(*kept, F.monotonically_increasing_id().alias("_uid"), "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.drop("text").schema)
-    rows = materialize(numbered.mapInArrow(_score_rows(shared, len(kept) + 1), f"{schema}, score double, n_tokens bigint, base double, known bigint, rare array<bigint>"))
+    rows = materialize(numbered.mapInArrow(_score_rows(shared, len(kept) + 1), schema_with(rest, "_uid bigint, score double, n_tokens bigint, _base double, _known bigint, _rare array<bigint>")))
     # Words that aren't common: a row each, with how often the text has it.
-    rare = rows.select("_uid", F.explode("rare").alias("key")).join(words.where(F.col("n") < max(1.0, COMMON * n)), "key")
+    rare = rows.select("_uid", F.explode("_rare").alias("key")).join(words.where(F.col("n") < max(1.0, COMMON * n)), "key")
     rare = rare.groupBy("_uid").agg(F.sum(F.log10(F.col("n") + 1)).alias("logs"), F.count("*").alias("known_rare"))
-    out = rows.select(*kept, "_uid", "score", "n_tokens", "base", "known", F.size("rare").alias("_rare")).join(rare, "_uid", "left")
+    out = rows.select(*kept, "_uid", "score", "n_tokens", "_base", "_known", F.size("_rare").alias("_rare")).join(rare, "_uid", "left")
     return out.select(
         *kept,
         "n_tokens",
-        (F.col("known") + F.coalesce("known_rare", F.lit(0))).cast("bigint").alias("n_known"),
+        (F.col("_known") + F.coalesce("known_rare", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("_rare") * F.lit(below)).alias("base_score"),
+        (F.col("_base") + F.coalesce("logs", F.lit(0.0)) - F.col("_rare") * F.lit(below)).alias("base_score"),
         "score",
     )
