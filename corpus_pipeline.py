@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.llm import decontamination, langid, ngram_join, packing, span_dedup
 from tessella.llm.common import materialize
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least share of a text's n-grams that its language has; below it a text looks like no language.
 LEAST_SCORE = 0.1
 
@@ -22,9 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     learned, go. Without any labelled document all are kept."""
     model = langid.fit(docs)
     if not model.langs:
-        return docs
+        return docs.select(COLUMNS)
     found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,19 +33,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays. Rows without a doc_id stay; rows that repeat a doc_id are one document and stay together."""
     found = ngram_join.jaccard_components(docs, size=5, num=80, den=100)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences of repeated spans go from all but the first document; n_chars follows the text."""
     found = span_dedup.remove_repeats(docs)
-    return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
+    return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold passages of the benchmark go."""
     found = decontamination.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    return found.where(F.size("items") == 0).select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
