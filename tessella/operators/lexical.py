@@ -46,12 +46,13 @@ def statistics(text: Column) -> dict[str, Column]:
 
 
 def tenses(text: Column) -> dict[str, Column]:
-    low = F.lower(text)
-    return {
-        "past": F.coalesce(F.regexp_count(low, F.lit(r"\b(?:was|were|had|did|[a-z]+ed)\b")), F.lit(0)),
-        "present": F.coalesce(F.regexp_count(low, F.lit(r"\b(?:is|are|am|has|have|does|do)\b")), F.lit(0)),
-        "future": F.coalesce(F.regexp_count(low, F.lit(r"\b(?:will|shall|gonna)\b")), F.lit(0)),
-    }
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
+    known = {"past": "was|were|had|did|[a-z]+ed", "present": "is|are|am|has|have|does|do", "future": "will|shall|gonna"}
+    return {name: _count_like(words, pattern) for name, pattern in known.items()}
+
+
+def _count_like(words: Column, pattern: str) -> Column:
+    return F.greatest(F.size(F.filter(words, lambda w: w.rlike(f"^(?:{pattern})$"))), F.lit(0))
 
 
 def lexicon_counts(docs: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:

@@ -23,9 +23,15 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from tessella.plans import queries as _  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
