@@ -250,13 +250,13 @@ def bin_split_correct(spark, d):
     return bins.split_bins(line_scores(spark, d), correct, order_bins(spark, d)).select("is_correct", "topic", "format", F.round("mean_score", 4).alias("mean_score"), "doc_count")
 
 
-_QUANTILES = "round(quantile_cont(m, 0.5), 4) AS median_influence, round(avg(m), 4) AS mean_influence, round(quantile_cont(m, 0.25), 4) AS p25_influence, round(quantile_cont(m, 0.75), 4) AS p75_influence, round(stddev_pop(m), 4) AS std_influence, round(quantile_cont(a, 0.5), 4) AS median_abs_influence, round(avg(a), 4) AS mean_abs_influence, max(n) AS doc_count"
+_QUANTILES = "round(quantile_cont(m, 0.5), 7) AS median_influence, round(avg(m), 7) AS mean_influence, round(quantile_cont(m, 0.25), 7) AS p25_influence, round(quantile_cont(m, 0.75), 7) AS p75_influence, round(stddev_pop(m), 7) AS std_influence, round(quantile_cont(a, 0.5), 7) AS median_abs_influence, round(avg(a), 7) AS mean_abs_influence, max(n) AS doc_count"
 
 
 @register("bin_perquery_quantiles", f"WITH {S.LINES}, e AS (SELECT topic, format, query_id, avg(score) AS m, avg(abs(score)) AS a, count(*) AS n FROM scores JOIN obins USING (doc_id) GROUP BY 1, 2, 3) SELECT topic, format, {_QUANTILES} FROM e GROUP BY 1, 2")
 def bin_perquery_quantiles(spark, d):
     out = bins.per_query_bins(line_scores(spark, d), order_bins(spark, d))
-    return out.select("topic", "format", *[F.round(c, 4).alias(c) for c in out.columns if c not in ("topic", "format", "doc_count")], "doc_count")
+    return out.select("topic", "format", *[F.round(c, 7).alias(c) for c in out.columns if c not in ("topic", "format", "doc_count")], "doc_count")
 
 
 @register("bin_zscore", f"WITH {S.GRID} SELECT topic, format, round((mean_score - avg(mean_score) OVER ()) / stddev_samp(mean_score) OVER (), 6) AS zscore FROM grid")

@@ -19,8 +19,9 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: str = RE
     reader = spark.read.option("lineSep", "\n")
     if not tolerant:
         return reader.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = reader.schema(f"{schema}, _corrupt_record string").option("ignoreCorruptFiles", "true").json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    lines = reader.option("ignoreCorruptFiles", "true").text(path).where("trim(value) != ''")
+    parsed = lines.select(F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return parsed.where("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
 
 
 def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

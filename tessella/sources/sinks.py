@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_json_lines(frame: DataFrame, path: str, compression: str | None = "zstd", lines_per_file: int = 10_000_000, overwrite: bool = False) -> None:
+def write_json_lines(frame: DataFrame, path: str, compression: str | None = "gzip", lines_per_file: int = 10_000_000, overwrite: bool = False) -> None:
     """JSON lines in files of so many lines at most. An existing folder is an error by default."""
     out = frame.write.mode("overwrite" if overwrite else "errorifexists").option("maxRecordsPerFile", lines_per_file)
     (out.option("compression", compression) if compression else out).json(path)
