@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tessella import taxonomy
 from tessella.functions import numbers, text
 from tessella.operators import scoring
+from tessella.ship import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
