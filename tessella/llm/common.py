@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,6 +37,21 @@ def schema_with(df: DataFrame, added: str) -> StructType:
     return StructType(df.schema.fields + StructType.fromDDL(added).fields)
 
 
+def trimmed(run):
+    """A mapInArrow function that gives freed memory back to the system when its task ends: a worker
+    lives on through later stages."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return inner
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there,
     the copy outlives any executor."""

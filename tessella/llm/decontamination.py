@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import text as T
-from tessella.llm.common import materialize, without
+from tessella.llm.common import materialize, trimmed, without
 
 #: Tokens of a match; an item of fewer tokens has to be found whole.
 MIN_MATCH = 5
@@ -151,7 +151,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_
     for k in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
         shared = spark.sparkContext.broadcast(Items(part.column("item_id").to_pylist(), part.column("text").to_pylist(), min_match))
-        out = out.mapInArrow(_flag_rows(shared, out.columns, coverage), out.schema)
+        out = out.mapInArrow(trimmed(_flag_rows(shared, out.columns, coverage)), out.schema)
         if blocks > 1:
             out = materialize(out)
             shared.destroy()

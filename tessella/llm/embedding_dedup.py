@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import components, materialize, salted_join
+from tessella.llm.common import components, materialize, salted_join, trimmed
 
 #: Pivots at most, and vectors in a tile.
 CELLS, TILE = 64, 2048
@@ -164,7 +164,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     their own: each has its row. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = materialize(vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(_unit_rows, "vec_id bigint, unit binary"))
+    rows = materialize(vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(trimmed(_unit_rows), "vec_id bigint, unit binary"))
     classes = rows.where("unit is not null").withColumn("cid", F.xxhash64("unit", F.lit(7)))
     classes = classes.groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     classes = materialize(classes)
@@ -177,7 +177,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     for d in {len(r["unit"]) // 8 for r in drawn} | {r[0] for r in classes.select((F.length("unit") / 8).cast("int")).distinct().collect()}:
         raw = [bytes(r["unit"]) for r in drawn if len(r["unit"]) == 8 * d][:: max(1, len(drawn) // many)][:many]
         pivots[d] = np.frombuffer(b"".join(raw), np.float64).reshape(-1, d) if raw else np.eye(1, d)
-    placed = classes.mapInArrow(_cells(pivots), "cid bigint, rep bigint, copies bigint, unit binary, dim bigint, cell bigint, angle double")
+    placed = classes.mapInArrow(trimmed(_cells(pivots)), "cid bigint, rep bigint, copies bigint, unit binary, dim bigint, cell bigint, angle double")
     # Tiles: ranges of (dimension, cell, angle), of about TILE classes each.
     sizes = {(r["dim"], r["cell"]): r["count"] for r in placed.groupBy("dim", "cell").count().collect()}  # CELLS rows a dimension
     cuts = F.create_map(*[F.lit(x) for (d, c), n in sizes.items() for x in (f"{d}/{c}", max(1, math.ceil(n / TILE)))]) if sizes else F.create_map(F.lit(""), F.lit(1))
@@ -199,7 +199,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     pairs = spark.createDataFrame(pairs or [("", "")], "tile string, tile2 string").repartition(max(1, min(2000, len(pairs))))
     second = tiles.select(F.col("tile").alias("tile2"), F.col("ids").alias("ids2"), F.col("weights").alias("weights2"), F.col("raw").alias("raw2"))
     joined = pairs.join(tiles.select("tile", "dim", "ids", "weights", "raw"), "tile").join(second, "tile2")
-    found = materialize(joined.mapInArrow(_multiply(threshold), "cid bigint, n bigint, other bigint"))
+    found = materialize(joined.mapInArrow(trimmed(_multiply(threshold)), "cid bigint, n bigint, other bigint"))
 
     counts = found.where("other is null").groupBy("cid").agg(F.sum("n").alias("n"))
     groups = components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import schema_with, without
+from tessella.llm.common import schema_with, trimmed, without
 
 #: Elements without text of the page: what they hold is passed over up to their end tag.
 _RAW = "script style title textarea noscript template iframe object svg canvas audio video select button datalist".split()
@@ -233,4 +233,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    return pages.select(*[f"`{c}`" for c in names], "html").mapInArrow(run, schema_with(rest, "text string, n_chars bigint"))
+    return pages.select(*[f"`{c}`" for c in names], "html").mapInArrow(trimmed(run), schema_with(rest, "text string, n_chars bigint"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import schema_with, without
+from tessella.llm.common import schema_with, trimmed, without
 from tessella.llm.text import mix
 
 #: Labelled texts of each language that a filter is fitted on, about (drawn by a hash of the id).
@@ -155,7 +155,7 @@ def fit(labelled: DataFrame, fit_texts: int = FIT_TEXTS) -> Model:
     drawn = labelled.where(draw < rate[F.col("lang")]).select("text", "lang")
     texts = dict(map(tuple, drawn.groupBy("lang").count().collect()))
     least = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (k, max(1, int(np.ceil(MIN_SHARE * texts.get(lang, 0)))))])
-    rows = drawn.mapInArrow(_gram_rows(langs), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = drawn.mapInArrow(trimmed(_gram_rows(langs)), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rows = rows.where(F.col("n") >= least[F.col("lang")]).toArrow()  # n-grams of a text / MIN_SHARE a language at most
     lang, gram, n = (rows.column(c).to_numpy().astype(t) for c, t in (("lang", np.int64), ("gram", np.int64), ("n", np.float64)))
     share = n / np.array([max(texts.get(x, 0), 1) for x in langs], float)[lang]
@@ -182,4 +182,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = list(shared.value.predict([t or "" for t in batch.column(names.index("text")).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema_with(docs, "lang_pred string, score double"))
+    return docs.mapInArrow(trimmed(run), schema_with(docs, "lang_pred string, score double"))

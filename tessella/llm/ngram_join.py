@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import text as T
-from tessella.llm.common import components, materialize, salted_join
+from tessella.llm.common import components, materialize, salted_join, trimmed
 
 #: Most prefix shingles that a pair may be asked to share.
 MOST_MATCHES = 8
@@ -159,7 +159,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     same doc_id or another, are in one component. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    screened = materialize(docs.mapInArrow(_screen_rows(size, num, den), "doc_id bigint, n bigint, cid bigint, pre array<bigint>"))
+    screened = materialize(docs.mapInArrow(trimmed(_screen_rows(size, num, den)), "doc_id bigint, n bigint, cid bigint, pre array<bigint>"))
     usable = screened.where("n > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.count_distinct("doc_id").alias("ids")))
 
@@ -172,14 +172,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
     # 2. Exact frequencies and prefixes of the classes that are left.
     few = active.count() <= BROADCAST_ROWS
-    sets = docs.join(F.broadcast(active) if few else active, "doc_id").select("text", "cid").mapInArrow(_set_rows(size), "cid bigint, n bigint, sh array<bigint>")
+    sets = docs.join(F.broadcast(active) if few else active, "doc_id").select("text", "cid").mapInArrow(trimmed(_set_rows(size)), "cid bigint, n bigint, sh array<bigint>")
     if not classes.where("copies > ids").isEmpty():  # a row that repeats text and doc_id would give its set twice
         sets = sets.dropDuplicates(["cid"])
     sets = materialize(sets)
     rows = sets.select("cid", F.explode("sh").alias("tok"))
     df = rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     lists = rows.join(df, "tok").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("ts")).join(sets.select("cid", "n"), "cid")
-    prefix = materialize(lists.select("cid", "n", "ts").mapInArrow(_prefix_rows(num, den), "tok bigint, pos bigint, cid bigint, n bigint, u bigint, l bigint"))
+    prefix = materialize(lists.select("cid", "n", "ts").mapInArrow(trimmed(_prefix_rows(num, den)), "tok bigint, pos bigint, cid bigint, n bigint, u bigint, l bigint"))
 
     # 3. Stars. In long lists every member is compared with the pivot, and keeps its difference.
     pivot = prefix.groupBy("tok").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("r"), F.col("cid").alias("b"), F.col("n").alias("bn"))).alias("p"), F.count("*").alias("size"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import tokens
-from tessella.llm.common import materialize
+from tessella.llm.common import materialize, trimmed
 
 #: Main pieces are multiples of this. With 64 classes of 16 ids the program is solved exactly;
 #: with a class for each of 1023 lengths it isn't within thousands of rounds.
@@ -283,7 +283,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 0, tokenizer: str
     """
     path = tokenizer or tokens.default_path()
     rest = "doc_id bigint, uid bigint, n bigint, crcs array<bigint>, main_crc bigint, crumb_crc bigint"
-    cut = materialize(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_cut_rows(path, end_id, capacity, QUANTUM), rest + ", rest binary"))
+    cut = materialize(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(trimmed(_cut_rows(path, end_id, capacity, QUANTUM)), rest + ", rest binary"))
     size = F.col("n") % capacity
     counts = np.zeros(capacity, np.int64)
     for k, n in cut.groupBy(size.alias("size")).count().collect():  # `capacity` rows at most
@@ -291,7 +291,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 0, tokenizer: str
     plan = Plan(counts, capacity)
 
     spread = cut.drop("rest").repartitionByRange(size, "doc_id", "uid").sortWithinPartitions(size, "doc_id", "uid")
-    ranked = materialize(spread.mapInArrow(_rank_rows(capacity), rest + ", task bigint, size bigint, rank bigint, before bigint"))
+    ranked = materialize(spread.mapInArrow(trimmed(_rank_rows(capacity)), rest + ", task bigint, size bigint, rank bigint, before bigint"))
     # Tasks are ranges of (size, doc_id): these rows are at most as many as tasks and sizes together.
     rank_at, full_at, seen, fulls = {}, {}, {}, 0
     sums = ranked.groupBy("task", "size").agg(F.count("*"), F.sum((F.col("n") - F.col("size")) / capacity).cast("bigint")).collect()
@@ -300,6 +300,6 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 0, tokenizer: str
         rank_at[task, at] = seen.get(at, 0)
         seen[at] = seen.get(at, 0) + n
         fulls += full
-    placed = ranked.mapInArrow(_place_rows(plan, rank_at, full_at), _PIECE + ", uid bigint")
-    crossing = placed.where("ids_crc32 is null").join(cut.select("uid", "rest"), "uid").mapInArrow(_split_rows(plan), _PIECE)
+    placed = ranked.mapInArrow(trimmed(_place_rows(plan, rank_at, full_at)), _PIECE + ", uid bigint")
+    crossing = placed.where("ids_crc32 is null").join(cut.select("uid", "rest"), "uid").mapInArrow(trimmed(_split_rows(plan)), _PIECE)
     return placed.where("ids_crc32 is not null").drop("uid").unionByName(crossing)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import text as T
-from tessella.llm.common import materialize, schema_with, without
+from tessella.llm.common import materialize, schema_with, trimmed, without
 
 ORDER = 5
 #: Contexts that a trie keeps: 0.6 KB each where a hundred different bytes are in use.
@@ -184,7 +184,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(train: DataFrame) -> tuple[Model, DataFrame, dict[str, int]]:
     """The model of the texts in ``train``, the count of each of its words (key, n; a hash for the
     word), and how many tokens, distinct tokens and texts it has. Null texts are empty."""
-    counts = train.select("text").mapInArrow(_count_rows, "kind byte, key bigint, n bigint")
+    counts = train.select("text").mapInArrow(trimmed(_count_rows), "kind byte, key bigint, n bigint")
     counts = materialize(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counts.where("kind = 1").select("key", "n")
     texts = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, sizes: dict[str, int]
     rest = without(docs, "text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_uid", "_base", "_known", "_rare")
     kept = [f"`{c}`" for c in rest.columns]
     numbered = docs.select(*kept, F.monotonically_increasing_id().alias("_uid"), "text")
-    rows = materialize(numbered.mapInArrow(_score_rows(shared, len(kept) + 1), schema_with(rest, "_uid bigint, score double, n_tokens bigint, _base double, _known bigint, _rare array<bigint>")))
+    rows = materialize(numbered.mapInArrow(trimmed(_score_rows(shared, len(kept) + 1)), schema_with(rest, "_uid bigint, score double, n_tokens bigint, _base double, _known bigint, _rare array<bigint>")))
     # Words that aren't common: a row each, with how often the text has it.
     rare = rows.select("_uid", F.explode("_rare").alias("key")).join(words.where(F.col("n") < max(1.0, COMMON * n)), "key")
     rare = rare.groupBy("_uid").agg(F.sum(F.log10(F.col("n") + 1)).alias("logs"), F.count("*").alias("known_rare"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import tokens
-from tessella.llm.common import shared_dir
+from tessella.llm.common import shared_dir, trimmed
 
 #: Ids in a block.
 BLOCK = 1 << 16
@@ -139,7 +139,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, planes: str = "bit", toke
     """
     encoder = tokenizer or tokens.default_path()
     ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_segment_rows(encoder, end_id, planes), _SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(trimmed(_segment_rows(encoder, end_id, planes)), _SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from written files alone."""
     rows = segments(spark, path).select("start", "doc_ids", "lengths", "payload")
-    return rows.mapInArrow(_digest_rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.mapInArrow(trimmed(_digest_rows), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, end_id: int = 2) -> DataFrame:

@@ -18,9 +18,9 @@ import numpy as np
 from tessella.llm.text import span_hashes
 
 #: Distinct pieces that a worker holds; beyond that the first `KEPT`, which hold the common ones, stay.
-CACHE, KEPT = 1_500_000, 500_000
+CACHE, KEPT = 800_000, 400_000
 #: Slots of the table, as a power of two.
-SLOTS = 22
+SLOTS = 21
 #: New pieces that are encoded as lines of one text.
 LINES = 50
 _FIRST = np.uint64(0xA24BAED4963EE407)
@@ -50,7 +50,8 @@ class Encoder:
         self.line = found[1] if len(found) == 3 else None
         self.n, self.used = 0, 0
         self.flat = np.zeros(1 << 20, np.uint32)
-        self.start, self.size, self.key = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.uint64)
+        room = CACHE + (1 << 16)
+        self.start, self.size, self.key = np.zeros(room, np.int32), np.zeros(room, np.int32), np.zeros(room, np.uint64)
         self._clear()
 
     def _clear(self) -> None:
@@ -85,9 +86,9 @@ class Encoder:
         """Number the keys of pieces whose ids lie one after another in ``ids``."""
         n, end = self.n, self.n + len(keys)
         if self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
+            self.flat = np.append(self.flat, np.zeros(len(ids) + len(self.flat) // 4, np.uint32))
         if end > len(self.start):
-            self.start, self.size, self.key = (np.resize(x, 2 * end) for x in (self.start, self.size, self.key))
+            self.start, self.size, self.key = (np.append(x, np.zeros(end - len(x) + (1 << 16), x.dtype)) for x in (self.start, self.size, self.key))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[n:end] = self.used + np.cumsum(sizes) - sizes
         self.size[n:end], self.key[n:end] = sizes, keys
@@ -140,9 +141,9 @@ class Encoder:
                 lead[first[:-1]] = 0
                 self._learn(new, [whole[a:b].decode("utf-8", "surrogatepass") for a, b in zip((begin[at] - lead[at]).tolist(), end[at].tolist(), strict=True)])
                 numbers[missing] = self._find(keys[missing])
-            sizes = self.size[numbers]
+            sizes = self.size[numbers].astype(np.int64)
             after = np.cumsum(sizes)
-            flat = self.flat[np.repeat(self.start[numbers] - after + sizes, sizes) + np.arange(int(sizes.sum()))]
+            flat = self.flat[np.repeat(self.start[numbers] - after + sizes, sizes) + np.arange(int(after[-1]))]
             ends = np.append(0, after)[first]
         out, k = [], 0
         for t, ok in zip(texts, easy, strict=True):
