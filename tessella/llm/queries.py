@@ -81,5 +81,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ppm_scoring, op2_sentence_span_dedup, op3_html_main_text, op4_bit_plane_token_file, op5_ngram_jaccard_join, op6_greedy_string_tiling, op7_language_bloom, op8_cutting_stock_packing, op9_url_association_rules, op10_embedding_near_dedup)}
 
 
+_COMPONENTS = """both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reach AS (SELECT {id} AS node, {id} AS other FROM {table} UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+  lowest AS (SELECT node, min(other) AS component_id FROM reach GROUP BY 1)"""
+
+_OP5 = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0d}]+') AS w FROM documents),
+  sets AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM words),
+  items AS (SELECT doc_id, unnest(sh) AS x FROM sets),
+  pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  links AS (SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * c >= 85 * (len(x.sh) + len(y.sh) - c)),
+  """ + _COMPONENTS.format(id="doc_id", table="documents") + """
+  SELECT doc_id, len(sh) AS n_shingles, component_id FROM sets JOIN lowest ON node = doc_id"""
+
+_OP10 = """WITH RECURSIVE links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95),
+  """ + _COMPONENTS.format(id="vec_id", table="embeddings") + """,
+  counts AS (SELECT a, count(*) AS n FROM both_ways GROUP BY 1)
+  SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN lowest ON node = vec_id LEFT JOIN counts ON a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express an operator; tests/llm holds brute-force versions of the others."""
+    return {"op5_ngram_jaccard_join": _OP5, "op10_embedding_near_dedup": _OP10}
