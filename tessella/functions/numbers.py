@@ -76,7 +76,8 @@ def selectivity(on_target: Column, off_target_mean: Column) -> Column:
 def candidate_scores(logits: Column, chars: Column, tokens: Column, size: Column, unconditioned: Column | None = None) -> dict[str, Column]:
     """Scores of a candidate: as it is, by character, by token, in bits by byte, and beyond what it
     has without its context."""
-    out = {"raw": logits, "per_character": logits / F.nullif(chars, F.lit(0)), "per_token": logits / F.nullif(tokens, F.lit(0)), "per_byte": -logits * LOG2_E / F.nullif(size, F.lit(0))}
+    one = F.lit(1)
+    out = {"raw": logits, "per_character": logits / F.greatest(chars, one), "per_token": logits / F.greatest(tokens, one), "per_byte": -logits * LOG2_E / F.greatest(size, one)}
     return out | ({"unconditioned": logits - unconditioned} if unconditioned is not None else {})
 
 

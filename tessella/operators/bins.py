@@ -211,3 +211,28 @@ def significant(grid: DataFrame, alpha: float = 0.05) -> DataFrame:
     ranked = rows.withColumns({"_i": F.row_number().over(w), "_n": F.count("p_value").over(Window.partitionBy())})
     passing = F.max(F.when(F.col("p_value") <= alpha * F.col("_i") / F.col("_n"), F.col("_i"))).over(Window.partitionBy())
     return ranked.withColumn("significant", F.coalesce(F.col("_i") <= passing, F.lit(False)) & F.col("p_value").isNotNull()).drop("_i", "_n")
+
+
+def positive_range(grid: DataFrame, column: str) -> DataFrame:
+    """Smallest and largest positive value; nulls without any."""
+    x = F.when(F.col(column) > 0, F.col(column))
+    return grid.agg(F.min(x).alias("lowest"), F.max(x).alias("highest"))
+
+
+def column_summary(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """Smallest, largest, mean and sample deviation of each column, in one pass."""
+    one = frame.agg(*[F.struct(F.min(c).alias("lowest"), F.max(c).alias("highest"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).alias(c) for c in columns])
+    return one.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])).alias("column", "s")).select("column", "s.*")
+
+
+def robust_limit(frame: DataFrame, column: str, q: float = 0.95) -> DataFrame:
+    """The q quantile of the finite magnitudes, 1e-8 at least: a symmetric colour limit."""
+    x = F.abs(F.col(column).cast("double"))
+    return frame.where(~F.isnan(x) & (x < float("inf"))).agg(F.greatest(F.coalesce(F.percentile(x, F.lit(q)), F.lit(0.0)), F.lit(1e-8)).alias("limit"))
+
+
+def bin_draws(grid: DataFrame, most: int = 200, seed: int = 42) -> DataFrame:
+    """Up to ``most`` normal draws of each bin by its mean and deviation, for histograms."""
+    n = F.least(F.col("doc_count"), F.lit(most)).cast("int")
+    each = grid.where("doc_count > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), n)))
+    return each.select("topic", "format", "draw", (F.col("mean_score") + F.col("std_score") * F.randn(seed)).alias("value"))

@@ -141,3 +141,27 @@ def islands(spans: DataFrame, key: str) -> DataFrame:
     rows = spans.withColumn("_new", F.when(top.isNull() | (F.col("start") >= top), 1).otherwise(0))
     rows = rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+
+
+def key_differences(left: Column, right: Column) -> Column:
+    """Keys that only one of two maps has, or whose values differ, sorted."""
+    keys = F.array_union(F.map_keys(left), F.map_keys(right))
+    return F.array_sort(F.filter(keys, lambda k: ~left[k].eqNullSafe(right[k])))
+
+
+def unexpected_keys(value: Column, allowed: list[str]) -> Column:
+    return F.array_except(F.map_keys(value), F.array(*[F.lit(k) for k in allowed]))
+
+
+def option_lines(prompt: Column) -> Column:
+    """Key and text of the option lines of a prompt, in order."""
+    keys = F.regexp_extract_all(prompt, F.lit(r"(?m)^([A-Z])[.)] .+$"), 1)
+    texts = F.regexp_extract_all(prompt, F.lit(r"(?m)^[A-Z][.)] (.+)$"), 1)
+    return F.zip_with(keys, texts, lambda k, t: F.struct(k.alias("key"), t.alias("text")))
+
+
+def options_valid(prompt: Column, choices: Column) -> Column:
+    """Whether the option lines are exactly the choices, keyed A, B, ..."""
+    lines = option_lines(prompt)
+    keys = F.transform(F.sequence(F.lit(0), F.size(choices) - 1), lambda i: F.char((i + 65).cast("bigint")))
+    return (F.transform(lines, lambda x: x["text"]) == choices) & (F.transform(lines, lambda x: x["key"]) == keys)

@@ -153,3 +153,32 @@ def greedy_stratified(rows: DataFrame, order: list[str], strata: list[str], n: i
             yield batch.take(pa.array(keep, pa.int64()))
 
     return rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def manifest_slice(frame: DataFrame, order: list[str], conditions: list[str] | None = None, labels: list[str] | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows of the wanted conditions and labels, in order, from an offset on. A wanted label that no
+    row has is an error."""
+    if conditions:
+        frame = frame.where(F.col("condition").isin(conditions))
+    if labels:
+        found = {r[0] for r in frame.where(F.col("label").isin(labels)).select("label").distinct().collect()}
+        if missing := sorted(set(labels) - found):
+            raise ValueError(f"no rows of {missing}")
+        frame = frame.where(F.col("label").isin(labels))
+    out = frame.orderBy(*order).offset(offset)
+    return out if limit is None else out.limit(limit)
+
+
+def synthetic_manifest(spark, n: int, seed: int = 42) -> DataFrame:
+    """Documents with random bins (uneven) and lognormal token counts, from a seed."""
+    from tessella import taxonomy
+
+    topics, formats = (F.array(*[F.lit(x) for x in xs]) for xs in (taxonomy.TOPICS, taxonomy.FORMATS))
+    pick = lambda s: (F.pow(F.rand(s), 2) * 24).cast("int") + 1
+    rows = spark.range(n).select(F.concat(F.lit("doc_"), "id").alias("doc_id"), F.element_at(topics, pick(seed)).alias("topic"), F.element_at(formats, pick(seed + 1)).alias("format"), F.greatest(F.lit(1), F.exp(6 + F.randn(seed + 2))).cast("bigint").alias("token_count"))
+    return rows
+
+
+def worker_budgets(frame: DataFrame, worker: str, order: list[str], value: str, limit: int) -> DataFrame:
+    """The budgeted sample of each worker's shards."""
+    return budget(frame, order, value, limit, [worker])

@@ -137,3 +137,14 @@ def factorial(influence_topic: DataFrame, random_topic: DataFrame, influence_onl
     for name, part in (("sel_1", random_topic), ("sel_c", influence_only), ("sel_3", neither)):
         out = out.join(part.select("target", F.col("selectivity").alias(name)), "target", "left")
     return out.withColumns({"influence_effect": F.try_divide("sel_a", F.nullif("sel_1", F.lit(0.0))), "topic_effect": F.try_divide("sel_a", F.nullif("sel_c", F.lit(0.0)))})
+
+
+def collateral(gamma: DataFrame, topic_of: DataFrame, primary: list[str], other: list[str], condition: str) -> DataFrame:
+    """For each target at its best topic (target, topic): the effect on the target, the mean magnitude
+    on the other primary benchmarks, and mean and largest magnitude on the held-out ones."""
+    rows = gamma.where(F.col("condition") == condition).join(F.broadcast(topic_of), ["target", "topic"])
+    b, size = F.col("eval_benchmark"), F.abs("gamma")
+    return rows.groupBy("target", "topic").agg(
+        F.max(F.when(b == F.col("target"), F.col("gamma"))).alias("on_target"), F.avg(F.when(b.isin(primary) & (b != F.col("target")), size)).alias("primary_collateral"),
+        F.avg(F.when(b.isin(other), size)).alias("other_collateral"), F.max(F.when(b.isin(other), size)).alias("other_largest"), F.count_distinct(F.when(b.isin(other), b)).alias("n_other"),
+    )

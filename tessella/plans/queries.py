@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella import taxonomy
 from tessella.functions import numbers, text, web
-from tessella.operators import bins, integrity, lexical, queryset, records, sampling, scoring, statistics
+from tessella.operators import bins, evidence, integrity, lexical, queryset, records, sampling, scoring, statistics
 from tessella.plans import sqltext as S
 from tessella.plans.catalog import register
 from tessella.plans.tables import gamma, line_scores, manifest, order_bins, scores, table, vector_bins, vectors
@@ -732,3 +732,136 @@ def cumulative_shares(spark, d):
     w = Window.orderBy(F.desc("token_count"), "topic", "format").rowsBetween(Window.unboundedPreceding, 0)  # a row a bin
     total = F.sum("token_count").over(Window.partitionBy())
     return lang_grid(spark, d).select("topic", "format", F.row_number().over(Window.orderBy(F.desc("token_count"), "topic", "format")).alias("rank"), r6(F.sum("token_count").over(w) / total).alias("cumulative_share"))
+
+
+# Evidence and smaller variants.
+
+
+def candidates(spark, d) -> DataFrame:
+    """Lines as candidates: an order is a query."""
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("index"), F.col("l_returnflag").alias("continuation"),
+        (-F.col("l_quantity")).alias("sum_logits"), (F.col("l_linenumber") % 3).alias("num_tokens"), F.when(F.col("l_orderkey") % 2 == 0, -F.col("l_quantity") / 2).alias("sum_logits_uncond"),
+    )
+
+
+_CANDIDATES = """c AS (SELECT l_orderkey AS query_id, l_linenumber AS idx, -l_quantity AS raw, -l_quantity / 1 AS per_character, -l_quantity / greatest(l_linenumber % 3, 1) AS per_token,
+  -(l_quantity * 1.4426950408889634::DOUBLE) AS per_byte, CASE WHEN l_orderkey % 2 = 0 THEN -l_quantity + l_quantity / 2 END AS unconditioned FROM lineitem),
+  e AS (SELECT query_id, idx, unnest(['raw', 'per_character', 'per_token', 'per_byte', 'unconditioned']) AS rule, unnest([raw, per_character, per_token, per_byte, unconditioned]) AS v FROM c),
+  w AS (SELECT query_id, rule, idx FROM e WHERE v IS NOT NULL QUALIFY v = max(v) OVER (PARTITION BY query_id, rule))"""
+
+
+@register("winning_sets", f"WITH {_CANDIDATES} SELECT query_id, rule, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS winners FROM w GROUP BY 1, 2")
+def winning_sets(spark, d):
+    out = evidence.winning_sets(evidence.scored_candidates(candidates(spark, d)))
+    return out.select("query_id", "rule", F.concat_ws(",", F.col("winners").cast("array<string>")).alias("winners"))
+
+
+@register("metric_conflicts", f"WITH {_CANDIDATES}, s AS (SELECT o_orderkey AS query_id, 'raw' AS rule, 1 AS predicted, (o_orderkey % 2)::DOUBLE AS accuracy, 1 AS gold_index FROM orders), j AS (SELECT s.query_id, count(w.idx) AS n, count(*) FILTER (WHERE w.idx = 1) AS hit, any_value(accuracy) AS accuracy FROM s LEFT JOIN w ON w.query_id = s.query_id AND w.rule = 'raw' GROUP BY 1), t AS (SELECT query_id, CASE WHEN n = 0 THEN 'no_evidence' WHEN hit = 0 THEN 'not_a_winner' WHEN accuracy != 1 THEN 'accuracy_differs' END AS state FROM j) SELECT state, count(*) AS n FROM t WHERE state IS NOT NULL GROUP BY 1")
+def metric_conflicts(spark, d):
+    stored = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.lit("raw").alias("rule"), F.lit(1).alias("predicted"), (F.col("o_orderkey") % 2).cast("double").alias("accuracy"), F.lit(1).alias("gold_index"))
+    winners = evidence.winning_sets(evidence.scored_candidates(candidates(spark, d)))
+    return evidence.metric_conflicts(stored, winners).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@register("reconstruction_conflicts", "SELECT conv_id AS native_id, turn AS doc_id, CASE WHEN conv_id % 5 = 0 THEN 'missing' ELSE 'differs' END AS state FROM conversations WHERE conv_id % 5 = 0 OR conv_id % 7 = 0")
+def reconstruction_conflicts(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("native_id"), F.col("turn").alias("doc_id"), F.lit(0).alias("idx"), F.col("role").alias("context"), F.col("text").alias("continuation"))
+    rebuilt = rows.where("native_id % 5 != 0").withColumn("context", F.when(F.col("native_id") % 7 == 0, "x").otherwise(F.col("context")))
+    return evidence.reconstruction_conflicts(rows, rebuilt).select("native_id", "doc_id", "state")
+
+
+@register("probe_contracts", "SELECT 11 AS n_probes, 34 AS n_tasks, 143008 AS n_rows")
+def probe_contracts(spark, d):
+    return evidence.probe_contracts(spark).agg(F.count_distinct("probe").alias("n_probes"), F.count("*").alias("n_tasks"), F.sum("n_expected").alias("n_rows"))
+
+
+def query_evidence(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.lit("bbq").alias("probe"), F.lit("bbq").alias("task"), F.col("text").alias("prompt"), F.concat(F.lit(" w"), "item_id").alias("completion"),
+        (F.col("item_id") % 2 == 0).alias("is_correct"), F.concat(F.lit(" r"), "item_id").alias("reference"),
+    )
+
+
+_COMPILED = """SELECT item_id AS query_id, 'model_completion' AS condition, 'joint_sequence' AS objective, ' w' || item_id AS target, 'base_completion' AS target_source, 'sensitivity' AS study_role FROM benchmark
+UNION ALL SELECT item_id, 'reference_answer', 'completion_target', ' r' || item_id, 'benchmark_reference', 'primary' FROM benchmark
+UNION ALL SELECT item_id, 'prompt_only', 'prompt_next_token', NULL, NULL, 'primary' FROM benchmark"""
+
+
+@register("compiled_queries", _COMPILED)
+def compiled_queries(spark, d):
+    rows = query_evidence(spark, d)
+    kinds = [("model_completion", "joint_sequence"), ("reference_answer", "completion_target"), ("prompt_only", "prompt_next_token")]
+    parts = [evidence.compile_queries(rows, c, o).select("query_id", "condition", "objective", "target", "target_source", "study_role") for c, o in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("rendered_queries", "SELECT item_id AS query_id, len(regexp_extract_all(text || ' r' || item_id, '\\S+'))::INT AS n_words, 1 AS n_scored, length(text || ' r' || item_id)::INT AS last_end FROM benchmark")
+def rendered_queries(spark, d):
+    rows = evidence.rendered(evidence.compile_queries(query_evidence(spark, d), "reference_answer", "completion_target"))
+    return rows.select("query_id", F.size("offsets").alias("n_words"), F.size(F.filter("scored", lambda x: x)).alias("n_scored"), F.element_at("offsets", -1)["end"].alias("last_end"))
+
+
+@register("positive_range", "SELECT min(c_acctbal) FILTER (WHERE c_acctbal > 0) AS lowest, max(c_acctbal) FILTER (WHERE c_acctbal > 0) AS highest FROM customer")
+def positive_range(spark, d):
+    return bins.positive_range(table(spark, d, "customer"), "c_acctbal")
+
+
+@register("column_summary", "SELECT 'l_quantity' AS \"column\", min(l_quantity) AS lowest, max(l_quantity) AS highest, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std FROM lineitem UNION ALL SELECT 'l_tax', min(l_tax), max(l_tax), round(avg(l_tax), 6), round(stddev_samp(l_tax), 6) FROM lineitem")
+def column_summary(spark, d):
+    return bins.column_summary(table(spark, d, "lineitem"), ["l_quantity", "l_tax"]).withColumns({"mean": r6("mean"), "std": r6("std")})
+
+
+@register("robust_limit", "SELECT round(greatest(quantile_cont(abs(c_acctbal), 0.95), 1e-8), 6) AS \"limit\" FROM customer")
+def robust_limit(spark, d):
+    return bins.robust_limit(table(spark, d, "customer"), "c_acctbal").select(r6("limit").alias("limit"))
+
+
+@register("single_query_statistics", f"WITH {S.SCORES} SELECT count(*) AS n, round(sum(score), 6) AS total, round(min(score), 6) AS lowest, round(max(score), 6) AS highest, round(avg(score), 6) AS mean FROM scores WHERE query_id = 7")
+def single_query_statistics(spark, d):
+    index, queries = vectors(spark, d)
+    return bins.score_statistics(scoring.block_scores(index, queries.where("id = 7"))).select("n", *[r6(c).alias(c) for c in ("total", "lowest", "highest", "mean")])
+
+
+@register("manifest_slice", "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IN ('F', 'O') ORDER BY o_orderkey LIMIT 50 OFFSET 10")
+def manifest_slice(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("condition"), F.col("o_orderstatus").alias("label"))
+    return sampling.manifest_slice(rows, ["doc_id"], ["1-URGENT"], ["F", "O"], 10, 50).select("doc_id")
+
+
+@register("key_differences", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'b,c' ELSE 'a,b,c' END AS keys FROM part")
+def key_differences(spark, d):
+    left, right = F.create_map(F.lit("a"), F.col("p_size") % 2, F.lit("b"), F.lit(1)), F.create_map(F.lit("a"), F.lit(0), F.lit("c"), F.lit(1))
+    return table(spark, d, "part").select("p_partkey", F.concat_ws(",", queryset.key_differences(left, right)).alias("keys"))
+
+
+@register("option_blocks", "SELECT p_partkey, p_size % 3 != 0 AS valid FROM part")
+def option_blocks(spark, d):
+    prompt = F.concat(F.lit("Q?\nA. "), "p_name", F.lit("\nB. "), "p_brand", F.when(F.col("p_size") % 3 == 0, "\nD. x").otherwise(""))
+    choices = F.when(F.col("p_size") % 3 == 0, F.array("p_name", "p_brand", F.lit("x"))).otherwise(F.array("p_name", "p_brand"))
+    return table(spark, d, "part").select("p_partkey", queryset.options_valid(prompt, choices).alias("valid"))
+
+
+@register("factorial_selectivity", f"WITH {S.GAMMA}, s AS (SELECT event_type, target, coalesce(max(abs(gamma)) FILTER (WHERE eval_benchmark = target), 0) / avg(abs(gamma)) FILTER (WHERE eval_benchmark != target) AS x FROM gamma GROUP BY 1, 2) SELECT a.target, round(a.x, 6) AS sel_a, round(b.x, 6) AS sel_1, round(a.x / b.x, 6) AS influence_effect FROM s a JOIN s b USING (target) WHERE a.event_type = 'click' AND b.event_type = 'view'")
+def factorial_selectivity(spark, d):
+    g = gamma(spark, d)
+    part = {e: statistics.selectivity(g.where(F.col("event_type") == e), []) for e in ("click", "view")}
+    out = statistics.factorial(part["click"], part["view"], part["view"], part["click"])
+    return out.select("target", r6("sel_a").alias("sel_a"), r6("sel_1").alias("sel_1"), r6("influence_effect").alias("influence_effect"))
+
+
+@register("collateral", f"WITH {S.GAMMA} SELECT target, topic, round(max(gamma) FILTER (WHERE eval_benchmark = target), 6) AS on_target, round(avg(abs(gamma)) FILTER (WHERE eval_benchmark IN ('b0', 'b1') AND eval_benchmark != target), 6) AS primary_collateral, round(avg(abs(gamma)) FILTER (WHERE eval_benchmark IN ('b2', 'b3')), 6) AS other_collateral FROM gamma WHERE condition = 'exp1' AND topic = CASE target WHEN 'b0' THEN 't3' WHEN 'b1' THEN 't5' END GROUP BY 1, 2")
+def collateral(spark, d):
+    best = spark.createDataFrame([("b0", "t3"), ("b1", "t5")], "target string, topic string")
+    out = statistics.collateral(gamma(spark, d), best, ["b0", "b1"], ["b2", "b3"], "exp1")
+    return out.select("target", "topic", *[r6(c).alias(c) for c in ("on_target", "primary_collateral", "other_collateral")])
+
+
+@register("bin_draws")
+def bin_draws(spark, d):
+    return bins.bin_draws(bins.score_bins(line_scores(spark, d), order_bins(spark, d)))
+
+
+@register("synthetic_manifest")
+def synthetic_manifest(spark, d):
+    return sampling.synthetic_manifest(spark, 2000).groupBy("topic").agg(F.count("*").alias("n"))

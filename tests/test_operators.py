@@ -288,3 +288,34 @@ def test_reports(spark):
     frame = spark.createDataFrame([("a_b & c", 1234567, 0.5)], "bin string, n bigint, x double")
     assert "a\\_b \\& c & 1,234,567 & 0.5000" in reports.latex_table(frame, ["bin", "n", "x"]) and "| a_b & c | 1,234,567 | 0.5000 |" in reports.markdown_table(frame, ["bin", "n", "x"])
     assert reports.humanize(5_678_621) == "5.7M" and reports.ticks(1, 60, log=True) == [1, 2, 5, 10, 20, 50]
+
+
+def test_evidence_rules(spark):
+    from tessella.operators import evidence
+
+    rows = spark.createDataFrame([("q", 0, " ab", -2.0, 1, -1.0), ("q", 1, " é", -2.0, 2, None)], "query_id string, index int, continuation string, sum_logits double, num_tokens int, sum_logits_uncond double")
+    got = {r["index"]: r for r in evidence.scored_candidates(rows).collect()}
+    assert got[0]["per_character"] == pytest.approx(-2 / 3) and got[1]["per_byte"] == pytest.approx(2 / 3 * 1.4426950408889634) and got[0]["unconditioned"] == -1 and got[1]["unconditioned"] is None
+    assert evidence.incomplete_unconditioned(rows).count() == 1
+    wins = {r["rule"]: r["winners"] for r in evidence.winning_sets(evidence.scored_candidates(rows)).collect()}
+    assert wins["raw"] == [0, 1] and wins["per_token"] == [1] and wins["per_byte"] == [0, 1][:2] or wins["per_byte"] == [0]
+    asked = spark.createDataFrame([("q", "bbq", "bbq", "One two", " three", True, None)], "query_id string, probe string, task string, prompt string, completion string, is_correct boolean, reference string")
+    for condition, objective in (("prompt_only", "joint_sequence"), ("nothing", "completion_target")):
+        with pytest.raises(ValueError):
+            evidence.compile_queries(asked, condition, objective)
+    with pytest.raises(Exception, match="no reference"):
+        evidence.compile_queries(asked, "reference_answer", "completion_target").collect()
+    out = evidence.rendered(evidence.compile_queries(asked, "model_completion", "completion_target"))
+    r = out.first()
+    assert [(x["start"], x["end"]) for x in r["offsets"]] == [(0, 3), (4, 7), (8, 13)] and r["scored"] == [False, False, True] and evidence.spans_contiguous(out).count() == 0
+    names = ["queries_arc_challenge.jsonl", "mmlu.jsonl", "mmlu_x.jsonl.zst"]
+    assert evidence.resolve_query_file("mmlu", names, {}) == "mmlu.jsonl" and evidence.resolve_query_file("arc_challenge", names, {}) == names[0] and evidence.resolve_query_file("mmlu", names, {"mmlu_x.jsonl.zst": "mmlu"}) == "mmlu_x.jsonl.zst"
+
+
+def test_small_reports(spark):
+    grid = spark.createDataFrame([("t", "f", 0.5, 0.0, 3), ("t", "g", -1.0, 0.0, 500)], "topic string, format string, mean_score double, std_score double, doc_count int")
+    assert sorted((r["format"], r["value"]) for r in bins.bin_draws(grid, most=4).collect()) == [("f", 0.5)] * 3 + [("g", -1.0)] * 4
+    assert bins.robust_limit(grid, "std_score").first()[0] == 1e-8 and tuple(bins.positive_range(grid, "mean_score").first()) == (0.5, 0.5)
+    with pytest.raises(ValueError, match="no rows"):
+        sampling.manifest_slice(grid.withColumn("label", F.col("format")), ["topic"], labels=["f", "zz"])
+    assert sampling.synthetic_manifest(spark, 50).where("token_count < 1").count() == 0
