@@ -11,8 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessella.ship import ship
+
 #: Key salts of `salted_join`; a key's rows go to as many tasks at most.
 SALTS = 16
+#: Rows of an Arrow batch at most.
+TEXTS_PER_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors, and keep Arrow batches of whole texts small: a batch is held
+    by the JVM and by a Python worker at once. A smaller setting of the session stays."""
+    ship(spark)
+    if int(spark.conf.get(_BATCH)) > TEXTS_PER_BATCH:
+        spark.conf.set(_BATCH, TEXTS_PER_BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:
