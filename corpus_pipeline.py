@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontamination, langid, ngram_join, packing, span_dedup
-from tessella.llm.common import materialize
-from tessella.ship import ship
+from tessella.llm.common import materialize, prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least share of a text's n-grams that its language has; below it a text looks like no language.
@@ -22,7 +21,7 @@ LEAST_SCORE = 0.1
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents; those without a letter, or that look like no language
     learned, go. Without any labelled document all are kept."""
-    ship(spark)
+    prepare(spark)
     model = langid.fit(docs)
     if not model.langs:
         return docs.select(COLUMNS)
@@ -33,7 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (word 5-grams, Jaccard of 0.8 or more) the smallest doc_id
     stays. Rows without a doc_id stay; rows that repeat a doc_id are one document and stay together."""
-    ship(spark)
+    prepare(spark)
     found = ngram_join.jaccard_components(docs, size=5, num=80, den=100)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
@@ -41,21 +40,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences of repeated spans go from all but the first document; n_chars follows the text."""
-    ship(spark)
+    prepare(spark)
     found = span_dedup.remove_repeats(docs)
     return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold passages of the benchmark go."""
-    ship(spark)
+    prepare(spark)
     found = decontamination.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.size("items") == 0).select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, in sequences of 1024 ids."""
-    ship(spark)
+    prepare(spark)
     return packing.pack(docs, capacity=1024, end_id=0)
 
 
