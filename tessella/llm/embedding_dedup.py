@@ -12,8 +12,8 @@ exact in float32, which BLAS multiplies fast. With u = s q + e, |e| <= E,
 since |u| = |v| = 1 up to rounding, for which both errors have an allowance. Pairs that the bound
 puts below the threshold are done; the others are recomputed from the double precision vectors.
 
-A tile product returns no pairs but, per class, how many vectors it links to, and a spanning forest
-of its links (one row a class at most). Components are joined from the forests.
+A tile product returns no pairs but, per class, how many vectors it links to, and the first class of
+its component in these tiles (one row a class at most). Components are joined from these.
 """
 
 from __future__ import annotations
@@ -55,33 +55,35 @@ def tile_links(a: _Tile, b: _Tile | None, threshold: float, strip: int = 512) ->
     """Index pairs (i in a, j in b) with a cosine of at least ``threshold``; within a for b None,
     with i < j. A strip of rows at a time."""
     other, found = b or a, []
+    widest, worst = other.scale.max(initial=0), other.error.max(initial=0)
     for lo in range(0, len(a.ids), strip):
         part = slice(lo, lo + strip)
-        near = (a.rows[part] @ other.rows.T).astype(np.float64) * a.scale[part, None] * other.scale[None]
-        slack = a.error[part, None] + other.error[None] + a.error[part, None] * other.error[None] + 1e-12
-        i, j = np.nonzero(near + slack >= threshold)
+        product = a.rows[part] @ other.rows.T
+        # A row's bound with the other tile's largest scale and error: one comparison for all pairs.
+        bound = (threshold - a.error[part] - worst - a.error[part] * worst - 1e-9) / (a.scale[part] * widest)
+        i, j = np.nonzero(product >= np.floor(bound).astype(np.float32)[:, None])
+        near = product[i, j].astype(np.float64) * a.scale[lo + i] * other.scale[j]
         i += lo
+        ok = near + a.error[i] + other.error[j] + a.error[i] * other.error[j] + 1e-9 >= threshold
         if b is None:
-            i, j = i[i < j], j[i < j]
+            ok &= i < j
+        i, j = i[ok], j[ok]
         exact = np.concatenate([np.einsum("ij,ij->i", a.unit[i[k : k + 65536]], other.unit[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
         found.append((i[exact >= threshold], j[exact >= threshold]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
-    """Indexes of links that span the components of n nodes."""
-    parent, kept = list(range(n)), []
-    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(k)
-    return kept
+def labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest index that each of n nodes reaches by the links."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, j, low[i])
+        np.minimum.at(low, i, low[j])
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        if np.array_equal(low, before):
+            return low
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +147,9 @@ def _multiply(threshold: float):
                 i, j = tile_links(a, b, threshold)
                 ids, weights, j = (a.ids, a.weights, j) if b is None else (np.append(a.ids, b.ids), np.append(a.weights, b.weights), j + len(a.ids))
                 n = np.bincount(i, weights[j], len(ids)) + np.bincount(j, weights[i], len(ids))
-                on, kept = np.flatnonzero(n), forest(i, j, len(ids))
-                x, y = ids[i[kept]], ids[j[kept]]
+                low = labels(i, j, len(ids))
+                on, joined = np.flatnonzero(n), np.flatnonzero(low != np.arange(len(ids)))
+                x, y = ids[joined], ids[low[joined]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([ids[on], x])), pa.array(np.concatenate([n[on].astype(np.int64), np.zeros(len(x), np.int64)])), pa.array([None] * len(on) + y.tolist(), pa.int64())], ["cid", "n", "other"]
                 )
