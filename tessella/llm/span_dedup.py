@@ -2,7 +2,8 @@
 
 A text is split into sentences: after ``.``, ``!``, ``?`` or an ellipsis (with closing quotes or
 brackets) before white space, at line ends, and, because passages are also pasted into the middle
-of a sentence, before a capitalised word that follows a lower-case one. From every sentence a span
+of a sentence, before a capitalised word that follows a lower-case one. Long sentences are cut at clauses, so that a
+passage of a few long sentences still is a run of several. From every sentence a span
 runs over as many following sentences as it takes to reach ``min_words`` words, at least two. Spans
 are compared by a 64-bit hash of their lower-cased words. Of every span that occurs more than once
 in the table, the occurrence in the smallest (doc_id, position) stays; sentences that any other
@@ -27,14 +28,22 @@ from tessella.llm import text as T
 from tessella.llm.common import materialize, salted_join, schema_with, trimmed, without
 
 #: Words that a span has at least; with fewer, everyday sentences would meet by chance.
-MIN_WORDS = 16
+MIN_WORDS = 20
+#: Characters beyond which a sentence is cut at commas, colons and semicolons.
+LONG = 120
+_CLAUSE = re.compile(r"[,;:]\s+")
 _SENTENCE = re.compile(r"""(?<=[.!?…])["'”’)\]]*\s+|\n+|(?<=[^\W\d_A-ZÀ-ÖØ-Þ])[,;:]?[ \t]+(?=[A-ZÀ-ÖØ-Þ])""")
 
 
 def sentences(text: str) -> list[int]:
     """Start of each sentence, in characters; from the second on, where the gap before it ends."""
-    starts = [0, *(m.end() for m in _SENTENCE.finditer(text))]
-    return starts[:-1] if len(starts) > 1 and starts[-1] == len(text) else starts
+    starts, out = [0, *(m.end() for m in _SENTENCE.finditer(text)), len(text)], []
+    for a, b in zip(starts, starts[1:]):
+        if a < b or not out:
+            out.append(a)
+        if b - a > LONG:
+            out += [m.end() for m in _CLAUSE.finditer(text, a, b) if m.end() < b]
+    return out
 
 
 def _spans(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
