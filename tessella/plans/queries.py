@@ -239,9 +239,9 @@ def bin_mean_abs_std(spark, d):
     return bins.score_bins(line_scores(spark, d), order_bins(spark, d)).select("topic", "format", *[F.round(c, 4).alias(c) for c in ("mean_score", "abs_mean_score", "std_score")], "doc_count")
 
 
-@register("bin_match_counts", "SELECT count(*) AS n_docs, count(*) FILTER (WHERE o_orderkey IS NULL) AS n_missed FROM (SELECT DISTINCT l_orderkey FROM lineitem) l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 != 0) o ON l_orderkey = o_orderkey")
+@register("bin_match_counts", "SELECT count(*) AS n_docs, count(*) FILTER (WHERE o_orderkey IS NULL) AS n_missed FROM (SELECT DISTINCT l_orderkey FROM lineitem) l LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus != 'P') o ON l_orderkey = o_orderkey")
 def bin_match_counts(spark, d):
-    return bins.match_counts(bins.document_means(line_scores(spark, d)), order_bins(spark, d).where("doc_id % 7 != 0"))
+    return bins.match_counts(bins.document_means(line_scores(spark, d)), order_bins(spark, d).where("format != 'P'"))
 
 
 @register("bin_split_correct", f"WITH {S.LINES}, m AS (SELECT doc_id, query_id % 2 = 0 AS is_correct, avg(score) AS score FROM scores GROUP BY 1, 2) SELECT is_correct, topic, format, round(avg(score), 4) AS mean_score, count(*) AS doc_count FROM m JOIN obins USING (doc_id) GROUP BY 1, 2, 3")
@@ -265,12 +265,14 @@ def bin_zscore(spark, d):
 
 
 def two_grids(spark, d) -> tuple[DataFrame, DataFrame]:
-    held, where = scores(spark, d), vector_bins(spark, d)
-    return tuple(bins.z_scores(bins.score_bins(held.where(F.col("query_id") % 2 == k), where.where(F.col("doc_id") % 5 != k))) for k in (0, 1))
+    """The grids of queries with small and with large labels."""
+    label = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), (F.col("label") >= 5).cast("int").alias("k"))
+    held, where = scores(spark, d).join(label, "query_id"), vector_bins(spark, d)
+    return tuple(bins.z_scores(bins.score_bins(held.where(F.col("k") == k), where)) for k in (0, 1))
 
 
 _TWO = ", ".join(
-    f"m{k} AS (SELECT doc_id, avg(score) AS score FROM scores WHERE query_id % 2 = {k} GROUP BY 1), b{k} AS (SELECT topic, format, avg(score) AS mean_score, count(*) AS doc_count FROM m{k} JOIN vbins USING (doc_id) WHERE doc_id % 5 != {k} GROUP BY 1, 2), "
+    f"m{k} AS (SELECT doc_id, avg(score) AS score FROM scores JOIN embeddings ON vec_id = query_id WHERE (label >= 5)::INT = {k} GROUP BY 1), b{k} AS (SELECT topic, format, avg(score) AS mean_score, count(*) AS doc_count FROM m{k} JOIN vbins USING (doc_id) GROUP BY 1, 2), "
     f"g{k} AS (SELECT topic, format, mean_score, doc_count, (mean_score - avg(mean_score) OVER ()) / stddev_samp(mean_score) OVER () AS zscore FROM b{k})"
     for k in (0, 1)
 )
@@ -336,9 +338,9 @@ def lang_grid(spark, d):
     return rows.groupBy("topic", "format").agg(F.count("*").alias("doc_count"), F.sum("token_count").alias("token_count"))
 
 
-@register("grid_complete", f"WITH {S.MANIFEST}, {S.BINS}, g AS (SELECT topic, format, count(*) AS doc_count, sum(token_count)::BIGINT AS token_count FROM manifest WHERE doc_id % 3 = 0 GROUP BY 1, 2) SELECT bin_id, topic, format, coalesce(doc_count, 0) AS doc_count, coalesce(token_count, 0) AS token_count FROM bins LEFT JOIN g USING (topic, format)")
+@register("grid_complete", f"WITH {S.MANIFEST}, {S.BINS}, g AS (SELECT topic, format, count(*) AS doc_count, sum(token_count)::BIGINT AS token_count FROM manifest GROUP BY 1, 2) SELECT bin_id, topic, format, coalesce(doc_count, 0) AS doc_count, coalesce(token_count, 0) AS token_count FROM bins LEFT JOIN g USING (topic, format)")
 def grid_complete(spark, d):
-    g = manifest(spark, d).where("doc_id % 3 = 0").groupBy("topic", "format").agg(F.count("*").alias("doc_count"), F.sum("token_count").alias("token_count"))
+    g = manifest(spark, d).groupBy("topic", "format").agg(F.count("*").alias("doc_count"), F.sum("token_count").alias("token_count"))
     return bins.complete(g, taxonomy.dim_bin(spark), ["doc_count", "token_count"]).select("bin_id", "topic", "format", "doc_count", "token_count")
 
 
@@ -378,13 +380,13 @@ def concentration(spark, d):
 
 @register(
     "share_log2_ratio",
-    f"""WITH a AS (SELECT lang AS topic, source AS format, count(*)::DOUBLE AS v FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT lang AS topic, source AS format, count(*)::DOUBLE AS v FROM documents WHERE doc_id % 2 = 1 GROUP BY 1, 2),
+    f"""WITH a AS (SELECT lang AS topic, source AS format, count(*)::DOUBLE AS v FROM documents WHERE n_chars < 1500 GROUP BY 1, 2), b AS (SELECT lang AS topic, source AS format, count(*)::DOUBLE AS v FROM documents WHERE n_chars >= 1500 GROUP BY 1, 2),
     s AS (SELECT topic, format, coalesce(a.v, 0) / (SELECT sum(v) FROM a) AS x, coalesce(b.v, 0) / (SELECT sum(v) FROM b) AS y FROM a FULL JOIN b USING (topic, format))
     SELECT topic, format, round(x, 6) AS share_a, round(y, 6) AS share_b, round(log2((x + 1e-10) / (y + 1e-10)), 6) AS log2_ratio FROM s""",
 )
 def share_log2_ratio(spark, d):
-    docs = table(spark, d, "documents").groupBy(F.col("lang").alias("topic"), F.col("source").alias("format"), (F.col("doc_id") % 2).alias("h")).agg(F.count("*").cast("double").alias("v"))
-    return bins.share_ratio(docs.where("h = 0"), docs.where("h = 1"), "v").select("topic", "format", *[r6(c).alias(c) for c in ("share_a", "share_b", "log2_ratio")])
+    docs = table(spark, d, "documents").groupBy(F.col("lang").alias("topic"), F.col("source").alias("format"), (F.col("n_chars") >= 1500).alias("h")).agg(F.count("*").cast("double").alias("v"))
+    return bins.share_ratio(docs.where("not h"), docs.where("h"), "v").select("topic", "format", *[r6(c).alias(c) for c in ("share_a", "share_b", "log2_ratio")])
 
 
 @register("pivot_topic_format", "SELECT lang AS topic, " + ", ".join(f"nullif(count(*) FILTER (WHERE source = 'src{k}'), 0) AS src{k}" for k in range(20)) + " FROM documents GROUP BY 1")
@@ -459,10 +461,10 @@ def nested_records(spark, d):
     return scoring.nested(scoring.top_k(scoring.block_scores(*vectors(spark, d), k=5), 5)).select("query_id", F.concat_ws(",", F.col("doc_ids").cast("array<string>")).alias("doc_ids"))
 
 
-@register("wide_scores", f"WITH {S.SCORES} SELECT doc_id, " + ", ".join(f'round(max(score) FILTER (WHERE query_id = {k}), 6) AS "{k}"' for k in range(4)) + " FROM scores GROUP BY 1")
+@register("wide_scores", f"WITH {S.SCORES} SELECT doc_id, " + ", ".join(f'round(max(score) FILTER (WHERE query_id = {k}), 6) AS "{k}"' for k in range(50)) + " FROM scores GROUP BY 1")
 def wide_scores(spark, d):
-    out = scoring.wide(scores(spark, d).where("query_id < 4"), [0, 1, 2, 3])
-    return out.select("doc_id", *[r6(F.col(f"`{k}`")).alias(str(k)) for k in range(4)])
+    out = scoring.wide(scores(spark, d), list(range(50)))
+    return out.select("doc_id", *[r6(F.col(f"`{k}`")).alias(str(k)) for k in range(50)])
 
 
 # Samples.
@@ -485,12 +487,12 @@ def stratified_token_floor(spark, d):
 
 @register(
     "representative_sample",
-    f"""WITH m AS (SELECT doc_id, lang, {S.rounded(S.WORDS)} AS token_count FROM documents WHERE doc_id % 10 != 0), g AS (SELECT lang, floor(50000 * (sum(token_count) / (SELECT sum(token_count) FROM m))) AS goal FROM m GROUP BY 1),
+    f"""WITH m AS (SELECT doc_id, lang, {S.rounded(S.WORDS)} AS token_count FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42'), doc_id) > 20), g AS (SELECT lang, floor(50000 * (sum(token_count) / (SELECT sum(token_count) FROM m))) AS goal FROM m GROUP BY 1),
     c AS (SELECT *, sum(token_count) OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42'), doc_id) AS s FROM m) SELECT doc_id, c.lang AS topic, token_count FROM c JOIN g USING (lang) WHERE s <= goal""",
 )
 def representative_sample(spark, d):
     m = table(spark, d, "documents").select("doc_id", F.col("lang").alias("topic"), F.lit("x").alias("format"), numbers.tokens_rounded(text.word_count(F.col("text"))).alias("token_count"))
-    return sampling.representative(m, m.where("doc_id % 10 = 0"), 50_000).select("doc_id", "topic", "token_count")
+    return sampling.representative(m, sampling.per_group(m, ["topic"], 20, 42), 50_000).select("doc_id", "topic", "token_count")
 
 
 @register("budget_prefix", "SELECT o_orderkey, o_totalprice FROM (SELECT *, sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS s FROM orders) WHERE s - o_totalprice < 1000000")
@@ -620,9 +622,9 @@ def conversation_prompts(spark, d):
     return queryset.conversation_prompts(table(spark, d, "conversations")).select("conv_id", "n_turns", F.md5("prompt").alias("prompt_md5"))
 
 
-@register("roster_coverage", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS state FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
+@register("roster_coverage", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS state FROM (SELECT * FROM documents WHERE lang = 'en') d FULL JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
 def roster_coverage(spark, d):
-    return queryset.coverage(table(spark, d, "documents").where("doc_id % 2 = 0"), table(spark, d, "labels"), "doc_id").select("doc_id", "state")
+    return queryset.coverage(table(spark, d, "documents").where("lang = 'en'"), table(spark, d, "labels"), "doc_id").select("doc_id", "state")
 
 
 @register("roster_diff", "(SELECT source, 'left' AS side FROM (SELECT source FROM documents WHERE lang = 'en' EXCEPT ALL SELECT source FROM documents WHERE lang = 'fr')) UNION ALL (SELECT source, 'right' FROM (SELECT source FROM documents WHERE lang = 'fr' EXCEPT ALL SELECT source FROM documents WHERE lang = 'en'))")
