@@ -84,3 +84,26 @@ def test_streams_equal_batches(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "e"))
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, events.windowed_sums(batch).collect()))
     assert sorted(map(tuple, spark.table("sess").collect())) == sorted(map(tuple, events.sessions(batch).collect()))
+
+
+def test_grids(spark, tmp_path):
+    from tessella.sources import grids
+
+    (tmp_path / "a_perquery.csv").write_text("topic_label,format_label,median_influence,mean_influence,doc_count\nScience math,FAQ,1.0,9,3\nGames,faq,3.0,9,4\n")
+    (tmp_path / "a.csv").write_text("topic_label,format_label,mean_score,doc_count\nx,y,7.0,1\n")
+    (tmp_path / "b.csv").write_text("topic_label,format_label,mean_score,doc_count\ngames,faq,7.0,1\nhealth,faq,7.0,1\n")
+    with pytest.warns(UserWarning, match="no grid of c"):
+        rows = grids.read_grids(spark, str(tmp_path), ["a", "b", "c"]).collect()
+    assert sorted((r["benchmark"], r["topic"], r["mean_score"], round(r["zscore"], 3)) for r in rows) == [
+        ("a", "__label__games", 3.0, 0.707), ("a", "__label__science_math", 1.0, -0.707), ("b", "__label__games", 7.0, 0.0), ("b", "__label__health", 7.0, 0.0),
+    ]
+
+
+def test_hub_records_need_a_network(spark):
+    from tessella.sources.remote import HubRecords
+
+    spark.dataSource.register(HubRecords)
+    with pytest.raises(Exception, match="repository and files"):
+        spark.read.format("hub_records").load().collect()
+    with pytest.raises(Exception, match="needs the datasets package"):
+        spark.read.format("hub_records").option("repository", "r").option("files", "f").load().collect()
