@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -20,6 +22,9 @@ TEXTS_PER_BATCH = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_open = threading.local()
+
+
 def prepare(spark: SparkSession) -> None:
     """Send the package to the executors, and keep Arrow batches of whole texts small: a batch is held
     by the JVM and by a Python worker at once. A smaller setting of the session stays."""
@@ -71,7 +76,31 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if made := getattr(_open, "made", None):
+        made[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch():
+    """Collects the paths of tables that are made inside, for `release`."""
+    made = _open.__dict__.setdefault("made", [])
+    made.append([])
+    try:
+        yield made[-1]
+    finally:
+        made.pop()
+
+
+def release(spark: SparkSession, made: list[str], *keep: DataFrame) -> None:
+    """Delete tables that no result reads any more: all that were made but those to keep."""
+    kept = {df._table for df in keep}
+    for path in [p for p in made if p not in kept]:
+        made.remove(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
@@ -90,7 +119,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ends in a table in the shared folder; only two numbers a round reach the driver.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("s"), F.least(a, b).alias("t")).distinct()
-    e, before = materialize(e), None
+    spark = edges.sparkSession
+    with scratch() as made:
+        e = _settled(spark, materialize(e), made)
+    if outer := getattr(_open, "made", None):
+        outer[-1].append(e._table)
+    return e.select(F.col("s").alias("node"), F.col("t").alias("root")).unionByName(e.select(F.col("t").alias("node"), F.col("t").alias("root")).distinct())
+
+
+def _settled(spark: SparkSession, e: DataFrame, made: list[str]) -> DataFrame:
+    """Rounds of large and small stars until nothing changes; only the last round's table stays."""
+    before = None
     while True:
         both = e.unionByName(e.select(F.col("t").alias("s"), F.col("s").alias("t")))
         low = both.groupBy("s").agg(F.min("t").alias("m")).select("s", F.least("s", "m").alias("m"))
@@ -99,7 +138,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = salted_join(large, low, ["s"]).where("t != m").select(F.col("t").alias("s"), F.col("m").alias("t"))
         e = materialize(small.unionByName(low.select("s", F.col("m").alias("t"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("s", "t").cast("decimal(38,0)"))).first()
+        release(spark, made, e)
         if now == before:
-            break
+            return e
         before = now
-    return e.select(F.col("s").alias("node"), F.col("t").alias("root")).unionByName(e.select(F.col("t").alias("node"), F.col("t").alias("root")).distinct())

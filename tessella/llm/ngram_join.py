@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import text as T
-from tessella.llm.common import components, materialize, salted_join, trimmed
+from tessella.llm.common import components, materialize, release, salted_join, scratch, trimmed
 
 #: Most prefix shingles that a pair may be asked to share.
 MOST_MATCHES = 8
@@ -158,7 +158,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     doc_id are linked with nothing and have a null component_id. Rows that repeat a text, under the
     same doc_id or another, are in one component. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    with scratch() as made:
+        rows, lookup = _joined(docs.select(F.col("doc_id").cast("bigint"), "text"), size, num, den)
+        release(docs.sparkSession, made, rows, lookup)
+    out = salted_join(rows, lookup, ["cid"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, cid) and the component_id of each cid that isn't a row's alone, as tables."""
     screened = materialize(docs.mapInArrow(trimmed(_screen_rows(size, num, den)), "doc_id bigint, n bigint, cid bigint, pre array<bigint>"))
     usable = screened.where("n > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.count_distinct("doc_id").alias("ids")))
@@ -215,5 +223,4 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cid", "component_id")
     lookup = classes.select("cid", "rep", "copies").join(named, "cid", "left").where("copies > 1 or component_id is not null")
     lookup = materialize(lookup.select("cid", F.coalesce("component_id", "rep").alias("component_id")))
-    out = salted_join(screened.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("cid")).alias("cid")), lookup, ["cid"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return materialize(screened.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("cid")).alias("cid"))), lookup

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import text as T
-from tessella.llm.common import materialize, salted_join, schema_with, trimmed, without
+from tessella.llm.common import materialize, release, salted_join, schema_with, scratch, trimmed, without
 
 #: Words that a span has at least; with fewer, everyday sentences would meet by chance.
 MIN_WORDS = 20
@@ -132,15 +132,21 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = without(docs, "_spans", "n_removed")
     spans = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(trimmed(_span_rows(min_words)), "doc_id bigint, h bigint, i int, j int, again boolean")
-    spans = materialize(spans)
-    first = spans.groupBy("h").agg(F.min("doc_id").alias("d0"), F.count("*").alias("c")).where("c > 1").select("h", "d0")
-    marked = salted_join(spans, first, ["h"]).where("doc_id != d0 or again")
-    marked = materialize(marked.groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("_spans")))
+    with scratch() as made:
+        marked = _marked(materialize(spans))
+        release(docs.sparkSession, made, marked)
     rows, many = marked.agg(F.count("*"), F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()
     few = rows + many <= BROADCAST_ROWS
     joined = docs.join(F.broadcast(marked) if few else marked, "doc_id", "left").select(*[f"`{c}`" for c in docs.columns], "_spans")
     return joined.mapInArrow(trimmed(_cut_rows), schema_with(docs, "n_removed bigint"))
 
 
+def _marked(spans: DataFrame) -> DataFrame:
+    """The spans to remove of each document that has any, as a table."""
+    first = spans.groupBy("h").agg(F.min("doc_id").alias("d0"), F.count("*").alias("c")).where("c > 1").select("h", "d0")
+    marked = salted_join(spans, first, ["h"]).where("doc_id != d0 or again")
+    return materialize(marked.groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("_spans")))
+
+
 #: Marked documents and spans (8 bytes each) up to which the marks are broadcast to the texts.
 BROADCAST_ROWS = 1_000_000
