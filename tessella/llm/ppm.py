@@ -5,12 +5,14 @@ it in the training texts (lower-cased A-Z, with `ORDER` zero bytes before a text
 its end). A byte costs, from its longest known context down: where the context has seen it, its share
 among the counts not excluded so far; else the escape, estimated from the bytes that the context has
 seen once (method X: (once + 1) / (counts + once + 1)), and the bytes of that context are excluded
-below it. Below the empty context every byte left is equally likely. Counts are those of all training
-texts; the trie keeps the `NODES` most frequent contexts, so its size doesn't grow with the corpus.
+below it. Below the empty context every byte left is equally likely. The trie holds every context of all
+training texts, as a table: no task and no driver holds the whole of it.
 
-A trained model is static, so the cost of each byte after each context, escapes and exclusions
-included, is worked out once; a text is scored by walking its contexts through the trie and looking
-costs up, for all bytes of a chunk together. `adaptive` is the same model learning as it reads.
+A trained model is static, so a byte's cost is a function of the byte and the `ORDER` bytes before
+it, an n-gram. Costs of the `HOT` most frequent n-grams are broadcast; the others of a text are joined
+with the table of costs by a shuffle. An n-gram that
+training has costs its share in its own context; the escapes and exclusions of one that it lacks are
+worked out once from the contexts that it ends in. `adaptive` is the same model learning as it reads.
 
 The unigram base needs the count of every word of every text. Words that make up a least share of
 all tokens are few by definition and are broadcast; the others are joined by a shuffle, where none
@@ -31,77 +33,54 @@ from tessella.llm import text as T
 from tessella.llm.common import materialize, schema_with, trimmed, without
 
 ORDER = 5
-#: Contexts that a trie keeps: 0.6 KB each where a hundred different bytes are in use.
-NODES = 60_000
 #: Least share of all training tokens that a word has whose count is broadcast.
 COMMON = 1 / 65536
+#: N-grams at most whose costs are broadcast, 16 bytes each: those that training has most often.
+HOT = 2_000_000
 
 
-# Trie and costs.
+# The trie as tables. A code is k << 48 | context << 8 | byte: how often the byte followed a context of
+# k bytes (a big-endian number); code >> 8 names the context.
 
 
 class Model:
-    """``child[node, symbol]``: the node of the context that is one byte longer (towards the past);
-    ``cost[node, symbol]``: log10 of the byte's probability where this node is the longest known.
-    Bytes that training has are symbols of their own, all others share the last column."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``levels[k]``: context, next byte and count, for the contexts of k bytes; a context is a
-        big-endian number."""
-        seen = np.unique(levels[0][1]) if levels and len(levels[0][1]) else np.zeros(0, np.int64)
-        wide = len(seen) + 1
-        self.symbol = np.full(256, wide - 1, np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        uniform = np.full((1, wide), -math.log10(256 - len(seen)) if len(seen) < 256 else 0.0, np.float32)
-        costs, children, before, first = [], [], None, 0
-        for k, (context, byte, n) in enumerate(levels if len(seen) else []):
-            names, row = np.unique(context, return_inverse=True)
-            counts = np.zeros((len(names), wide), np.float32)
-            counts[row, self.symbol[byte]] = n
-            if k:
-                # the context without its oldest byte is a row of the level before
-                parent = np.searchsorted(before[0], names & ((1 << 8 * (k - 1)) - 1))
-                children.append((before[1] + parent, self.symbol[names >> 8 * (k - 1)], first + np.arange(len(names))))
-                lower = before[2][parent]
-                below = self._shared(np.where(counts > 0, 0, lower).astype(np.float32), before[3][parent])
-            else:
-                below = uniform
-            costs.append(self._shared(counts, below))
-            # what a byte costs below a context: by itself, and where a longer one has excluded some
-            before = (names, first, counts, below)
-            first += len(names)
-        self.cost = np.concatenate(costs) if costs else uniform
-        self.child = np.zeros((len(self.cost), wide), np.int32)
-        for parent, symbol, node in children:
-            self.child[parent, symbol] = node
-
-    @staticmethod
-    def _shared(held: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """log10 costs of the bytes in ``held`` by their counts, and of all others by the escape and
-        what they cost below."""
-        total, once = held.sum(1, keepdims=True, dtype=np.float64), (held == 1).sum(1, keepdims=True)
-        whole = total + once + 1
-        out = below + np.where(total > 0, np.log10((once + 1) / whole), 0).astype(np.float32)
-        for lo in range(0, len(held), 2048):
-            part = slice(lo, lo + 2048)
-            row, col = np.nonzero(held[part])
-            out[lo + row, col] = np.log10(held[part][row, col] / whole[lo + row, 0])
-        return out
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text, its end included."""
-        n, rows, wide = len(data), len(offsets) - 1, self.child.shape[1]
-        size = n + rows * (ORDER + 1)
-        laid, first = np.full(size, self.symbol[0]), offsets[:-1] + np.arange(rows) * (ORDER + 1) + ORDER
-        length = np.diff(offsets)
-        laid[np.repeat(first - offsets[:-1], length) + np.arange(n)] = self.symbol[T.LOWER[data]]
-        child, node, longest = self.child.ravel(), np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for k in range(1, ORDER + 1):  # one byte further back; node 0 below the root is none
-            found = child[node[k:] * wide + laid[:-k]]
-            node = np.concatenate([np.zeros(k, np.int64), found if k == 1 else np.where(node[k:] > 0, found, 0)])
-            np.copyto(longest, node, where=node > 0)
-        run = np.append(0.0, np.cumsum(self.cost.ravel()[longest * wide + laid], dtype=np.float64))
-        return run[first + length + 1] - run[first]
+    """``levels`` (code, n): all counts; ``contexts`` (context, total, once, inner, inner_once): their
+    sum, how many are one, and both for the bytes of the context in the one a byte shorter;
+    ``grams`` (key, n, cost): log10 of the probability of each byte after `ORDER` known ones;
+    ``hot``: n-grams counted more often are `HOT` at most; ``seen``: distinct bytes."""
+
+    def __init__(self, grams: DataFrame):
+        low = [(k << 48, (1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1)]
+        each = F.explode(F.array(*[F.col("key").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(head)) for head, mask in low]))
+        self.levels = materialize(grams.select(each.alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n")))
+        depth = F.shiftright("code", 48).cast("int")
+        mask = F.element_at(F.array(*[F.lit(m) for _, m in low]), depth)  # of one byte less; nothing is less than the root
+        longer = self.levels.where(depth > 0).select(F.col("code").alias("of"), (F.col("code").bitwiseAND(mask) + (depth - 1).cast("bigint") * (1 << 48)).alias("code"))
+        inner = longer.join(self.levels, "code").select(F.col("of").alias("code"), F.col("n").alias("i"))
+        one = lambda c: F.sum(F.when(F.col(c) == 1, 1).otherwise(0))
+        held = self.levels.join(inner, "code", "left").groupBy(F.shiftright("code", 8).alias("context"))
+        self.contexts = materialize(held.agg(F.sum("n").alias("total"), one("n").alias("once"), F.sum("i").alias("inner"), one("i").alias("inner_once")))
+        known = self.levels.where(depth == ORDER).withColumn("context", F.shiftright("code", 8)).join(self.contexts, "context")
+        self.grams = materialize(known.select(F.col("code").bitwiseAND(F.lit(low[-1][1])).alias("key"), "n", F.log10(F.col("n") / (F.col("total") + F.col("once") + 1)).alias("cost")))
+        sizes = self.grams.groupBy("n").count().toArrow().sort_by([("n", "descending")])  # distinct counts are few
+        n, many = (sizes.column(c).to_numpy().astype(np.int64) for c in ("n", "count"))
+        self.hot = int(np.append(n, 0)[np.searchsorted(np.cumsum(many), HOT, side="right")])
+        self.seen = self.levels.where(depth == 0).count()
+
+    def unknown(self, keys: DataFrame) -> DataFrame:
+        """(key, cost) of n-grams (key, distinct) that training lacks: the escapes of the known contexts
+        without the byte, each without the bytes of the context a byte longer, and its share there."""
+        low = [F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).bitwiseOR(F.lit(k << 48)) for k in range(ORDER + 1)]
+        steps = [F.struct(F.lit(k).alias("k"), low[k].alias("code"), F.shiftright(low[k], 8).alias("context"), (F.shiftright(low[k + 1], 8) if k < ORDER else F.lit(-1).cast("bigint")).alias("longer")) for k in range(ORDER + 1)]
+        x = keys.select("key", F.explode(F.array(*steps)).alias("x")).select("key", "x.*")
+        longer = self.contexts.select(F.col("context").alias("longer"), "inner", "inner_once")
+        x = x.join(self.contexts.select("context", "total", "once"), "context", "left").join(longer, "longer", "left").join(self.levels, "code", "left")
+        held, once = (F.col(a) - F.coalesce(b, F.lit(0)) for a, b in (("total", "inner"), ("once", "inner_once")))
+        whole = held + once + 1
+        escape = F.when(F.col("n").isNull() & (held > 0), F.log10((once + 1) / whole))
+        share = F.max_by(F.when(F.col("n").isNotNull(), F.log10(F.col("n") / whole)), F.when(F.col("n").isNotNull(), F.col("k")))
+        uniform = F.lit(-math.log10(max(1, 256 - self.seen)))
+        return x.groupBy("key").agg((F.coalesce(F.sum(escape), F.lit(0.0)) + F.coalesce(share, uniform)).alias("cost"))
 
 
 def adaptive(text: str, order: int = ORDER) -> float:
@@ -144,6 +123,20 @@ def _held(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts
 
 
+def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each byte of each text and its end, with the `ORDER` bytes before it, as a number."""
+    rows = len(offsets) - 1
+    laid = np.zeros(len(data) + rows * (ORDER + 1), np.uint64)
+    laid[np.repeat(np.arange(rows) * (ORDER + 1) + ORDER, np.diff(offsets)) + np.arange(len(data))] = T.LOWER[data]
+    code = np.zeros(max(len(laid) - ORDER, 0), np.uint64)
+    for k in range(ORDER + 1):
+        code = (code << np.uint64(8)) | laid[k : k + len(code)]
+    real = np.ones(len(laid), bool)  # not where the byte is one of those before a text
+    for k in range(ORDER):
+        real[offsets[:-1] + np.arange(rows) * (ORDER + 1) + k] = False
+    return code[real[ORDER:]]
+
+
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, n): byte n-grams of ORDER + 1 (kind 0) and words (kind 1) of a task, and texts (2)."""
     grams, words, size, texts = [], [], 0, 0
@@ -162,16 +155,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, offsets in T.chunks(batch.column(0), 1 << 21):
             starts, ends, _ = T.words(data, offsets)
             words.append(np.unique(T.span_hashes(data, starts, ends), return_counts=True))
-            rows = len(offsets) - 1
-            laid = np.zeros(len(data) + rows * (ORDER + 1), np.uint64)
-            laid[np.repeat(np.arange(rows) * (ORDER + 1) + ORDER, np.diff(offsets)) + np.arange(len(data))] = T.LOWER[data]
-            code = np.zeros(len(laid) - ORDER, np.uint64)
-            for k in range(ORDER + 1):
-                code = (code << np.uint64(8)) | laid[k : k + len(code)]
-            real = np.ones(len(laid), bool)  # not where the byte is one of those before a text
-            for k in range(ORDER):
-                real[offsets[:-1] + np.arange(rows) * (ORDER + 1) + k] = False
-            grams.append(np.unique(code[real[ORDER:]], return_counts=True))
+            grams.append(np.unique(_grams(data, offsets), return_counts=True))
             size += len(words[-1][0]) + len(grams[-1][0])
             if size > 1 << 22:
                 yield from flush()
@@ -189,27 +173,18 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, dict[str, int]]:
     words = counts.where("kind = 1").select("key", "n")
     texts = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # The last k bytes of context and the byte itself are the low bytes of an n-gram.
-    low = [F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)) for k in range(ORDER + 1)]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(x, 8).alias("c"), x.bitwiseAND(F.lit(255)).alias("b")) for k, x in enumerate(low)]))
-    level = counts.where("kind = 0").select(each.alias("x"), "n").groupBy("x.k", "x.c", "x.b").agg(F.sum("n").alias("n"))
-    level = materialize(level)
-    # A context's suffixes have its count at least; of equal counts the shorter context comes first.
-    kept = level.groupBy("k", "c").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "k", "c").limit(NODES).select("k", "c")
-    rows = level.join(F.broadcast(kept), ["k", "c"]).toArrow()
-    depth, *cols = (rows.column(c).to_numpy().astype(np.int64) for c in "kcbn")
-    contexts = [tuple(x[depth == k] for x in cols) for k in range(ORDER + 1)]
-    return Model(contexts), words, {"tokens": tokens + texts, "distinct": distinct + (texts > 0), "texts": texts}
+    return Model(counts.where("kind = 0").select("key", "n")), words, {"tokens": tokens + texts, "distinct": distinct + (texts > 0), "texts": texts}
 
 
 # Scoring.
 
 
 def _score_rows(shared, columns: int):
-    """Each text's score, its tokens, the sum of its common words, and its other words."""
+    """Each text's score by hot n-grams, its other n-grams, its tokens, the sum of its common words, and
+    its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, logs, end = shared.value
+        hot, costs, keys, logs, end = shared.value
         for batch in batches:
             for lo, hi, data, offsets in T.chunks(batch.column(columns)):
                 rows = hi - lo
@@ -222,16 +197,25 @@ def _score_rows(shared, columns: int):
                 tokens = np.bincount(where, minlength=rows)[:rows] + 1
                 h, where = h[~common], where[~common]
                 bounds = np.searchsorted(where, np.arange(rows + 1)).astype(np.int32)
+                grams, of = _grams(data, offsets).view(np.int64), np.repeat(np.arange(rows), np.diff(offsets) + 1)
+                order = np.argsort(grams)  # neighbours are looked up together
+                at = np.empty(len(grams), np.int64)
+                at[order] = np.minimum(np.searchsorted(hot, grams[order]), max(len(hot) - 1, 0))
+                held = hot[at] == grams if len(hot) else np.zeros(len(grams), bool)
+                total = np.bincount(of[held], costs[at[held]], rows)[:rows]
+                grams, of = grams[~held], of[~held]
+                rest = np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(c.slice(lo, rows) for c in batch.columns[:columns]),
-                        pa.array(model.score(data, offsets)),
+                        pa.array(total.astype(np.float64)),
+                        pa.ListArray.from_arrays(rest, grams),
                         pa.array(tokens),
                         pa.array(base + end[0]),
                         pa.array(known + end[1]),
                         pa.ListArray.from_arrays(bounds, h),
                     ],
-                    [*batch.schema.names[:columns], "score", "n_tokens", "_base", "_known", "_rare"],
+                    [*batch.schema.names[:columns], "_score", "_rest", "n_tokens", "_base", "_known", "_rare"],
                 )
 
     return run
@@ -245,7 +229,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, sizes: dict[str, int]
     Null texts are empty: they have the end token alone. Rows that repeat a doc_id are scored each
     on its own. An empty table gives no rows; with nothing to learn from, every byte is as likely
     as any other. Further columns are kept, but give way to new ones
-    of the same name (and to _uid, _base, _known and _rare).
+    of the same name (and to _uid, _score, _rest, _base, _known and _rare).
     """
     spark: SparkSession = docs.sparkSession
     n, v = sizes["tokens"], sizes["distinct"]
@@ -253,20 +237,25 @@ def score(docs: DataFrame, model: Model, words: DataFrame, sizes: dict[str, int]
     often = words.where(F.col("n") >= max(1.0, COMMON * n)).toArrow().sort_by("key")  # 1 / COMMON words at most
     keys, logs = often.column("key").to_numpy().astype(np.int64), np.log10(often.column("n").to_numpy().astype(np.float64) + 1) - below
     end = (math.log10(sizes["texts"] + 1) - below, int(sizes["texts"] > 0))
-    shared = spark.sparkContext.broadcast((model, keys, logs, end))
-    rest = without(docs, "text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_uid", "_base", "_known", "_rare")
+    hot = model.grams.where(F.col("n") > model.hot).select("key", "cost").toArrow().sort_by("key")
+    shared = spark.sparkContext.broadcast((*(hot.column(c).to_numpy() for c in ("key", "cost")), keys, logs, end))
+    rest = without(docs, "text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_uid", "_score", "_rest", "_base", "_known", "_rare")
     kept = [f"`{c}`" for c in rest.columns]
     numbered = docs.select(*kept, F.monotonically_increasing_id().alias("_uid"), "text")
-    rows = materialize(numbered.mapInArrow(trimmed(_score_rows(shared, len(kept) + 1)), schema_with(rest, "_uid bigint, score double, n_tokens bigint, _base double, _known bigint, _rare array<bigint>")))
+    rows = materialize(numbered.mapInArrow(trimmed(_score_rows(shared, len(kept) + 1)), schema_with(rest, "_uid bigint, _score double, _rest array<bigint>, n_tokens bigint, _base double, _known bigint, _rare array<bigint>")))
     # Words that aren't common: a row each, with how often the text has it.
     rare = rows.select("_uid", F.explode("_rare").alias("key")).join(words.where(F.col("n") < max(1.0, COMMON * n)), "key")
     rare = rare.groupBy("_uid").agg(F.sum(F.log10(F.col("n") + 1)).alias("logs"), F.count("*").alias("known_rare"))
-    out = rows.select(*kept, "_uid", "score", "n_tokens", "_base", "_known", F.size("_rare").alias("_rare")).join(rare, "_uid", "left")
+    # N-grams that aren't hot likewise, among them those that training lacks.
+    rest, cool = rows.select("_uid", F.explode("_rest").alias("key")), model.grams.where(F.col("n") <= model.hot).select("key", "cost")
+    costs = cool.unionByName(materialize(model.unknown(rest.select("key").distinct().join(cool, "key", "left_anti"))))
+    rest = rest.join(costs, "key").groupBy("_uid").agg(F.sum("cost").alias("costs"))
+    out = rows.select(*kept, "_uid", "_score", "n_tokens", "_base", "_known", F.size("_rare").alias("_rare")).join(rare, "_uid", "left").join(rest, "_uid", "left")
     return out.select(
         *kept,
         "n_tokens",
         (F.col("_known") + F.coalesce("known_rare", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("_base") + F.coalesce("logs", F.lit(0.0)) - F.col("_rare") * F.lit(below)).alias("base_score"),
-        "score",
+        (F.col("_score") + F.coalesce("costs", F.lit(0.0))).alias("score"),
     )

@@ -347,6 +347,19 @@ def test_ppm_against_plain_version(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(sum(math.log10((words[x] + 1) / (n + v + 1)) for x in w)) and r["n_known"] == sum(words[x] > 0 for x in w)
 
 
+@pytest.mark.parametrize("hot", [None, 2000, 0])
+def test_ppm_keeps_every_context(spark, monkeypatch, hot):
+    if hot is not None:
+        monkeypatch.setattr(ppm, "HOT", hot)
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=3000))) for k in range(36)]
+    train = [t for d, t in rows if d % 7]
+    assert len({t[i : i + k] for t in train for k in range(6) for i in range(len(t) - k + 1)}) > 90_000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs, *ppm.fit(docs.where("doc_id % 7 != 0"))).collect()}
+    assert [got[d] for d, _ in rows] == pytest.approx(plain_ppm([t for _, t in rows], train), rel=1e-9)
+
+
 def test_ppm_edges(spark):
     docs = edge_docs(spark)
     found = ppm.score(docs, *ppm.fit(docs)).collect()
