@@ -2,8 +2,10 @@
 
 A text is split into sentences: after ``.``, ``!``, ``?`` or an ellipsis (with closing quotes or
 brackets) before white space, at line ends, and, because passages are also pasted into the middle
-of a sentence, before a capitalised word that follows a lower-case one. Long sentences are cut at clauses, so that a
-passage of a few long sentences still is a run of several. From every sentence a span
+of a sentence, before a capitalised word that follows a lower-case one. Sentences are cut at clauses, and what then is
+longer than `PIECE` words is cut before words that the words around them choose, so that texts which
+share a passage share the cuts inside it, marks or none. Any 50 consecutive words of a text hold a span of
+their own: cuts agree from `WINDOW` words inside a passage on. From every sentence (or piece) a span
 runs over as many following sentences as it takes to reach ``min_words`` words, at least two. Spans
 are compared by a 64-bit hash of their lower-cased words. Of every span that occurs more than once
 in the table, the occurrence in the smallest (doc_id, position) stays; sentences that any other
@@ -25,43 +27,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import text as T
-from tessella.llm.common import materialize, release, salted_join, schema_with, scratch, trimmed, without
+from tessella.llm.common import materialize, release, schema_with, scratch, trimmed, without
 
 #: Words that a span has at least; with fewer, everyday sentences would meet by chance.
 MIN_WORDS = 20
-#: Characters beyond which a sentence is cut at commas, colons and semicolons.
-LONG = 120
+#: Words that a piece has at most without a cut inside it.
+PIECE = 15
+#: Of as many neighbouring words in a longer piece, the one of least hash begins a new piece.
+WINDOW = 8
 _CLAUSE = re.compile(r"[,;:]\s+")
 _SENTENCE = re.compile(r"""(?<=[.!?…])["'”’)\]]*\s+|\n+|(?<=[^\W\d_A-ZÀ-ÖØ-Þ])[,;:]?[ \t]+(?=[A-ZÀ-ÖØ-Þ])""")
 
 
-def sentences(text: str) -> list[int]:
-    """Start of each sentence, in characters; from the second on, where the gap before it ends."""
+def _marks(text: str) -> list[int]:
+    """Start of each sentence and clause, in characters."""
     starts, out = [0, *(m.end() for m in _SENTENCE.finditer(text)), len(text)], []
     for a, b in zip(starts, starts[1:]):
         if a < b or not out:
             out.append(a)
-        if b - a > LONG:
-            out += [m.end() for m in _CLAUSE.finditer(text, a, b) if m.end() < b]
+        out += [m.end() for m in _CLAUSE.finditer(text, a, b) if m.end() < b]
     return out
 
 
-def _spans(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, sentence after the last, hash) of each span."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = sentences(text)
-    if len(starts) < 2:
-        return none
+def _pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of each piece in characters; the word that each begins with, and how many words there
+    are; a hash of each word."""
     raw = text.encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
     begin, end, _ = T.words(data, np.array([0, len(data)]))
-    if len(begin) < min_words:
-        return none
-    at = np.array(starts)
-    if len(raw) != len(text):  # to bytes: count those that begin a character
-        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[at]
-    first = np.append(np.searchsorted(begin, at), len(begin))  # word that each sentence begins with
+    at, n = np.array(_marks(text)), len(begin)
+    chars = np.flatnonzero((data & 0xC0) != 0x80) if len(raw) != len(text) else None  # bytes that begin a character
+    first = np.append(np.searchsorted(begin, at if chars is None else np.append(chars, len(data))[at]), n)
+    h = T.span_hashes(data, begin, end)
+    size = np.diff(first)
+    if n <= PIECE or size.max() <= PIECE:
+        return at, first, h
+    pair = np.append(np.uint64(0), T.sequence_hashes(h, 2))  # a word and the one before it
+    least = WINDOW - 1 - np.lib.stride_tricks.sliding_window_view(pair, WINDOW)[:, ::-1].argmin(1)
+    # windows in one long piece, without the word that it begins with
+    p = np.arange(n - WINDOW + 1)
+    head, stop, long = (np.repeat(x, size)[: len(p)] for x in (first[:-1], first[1:], size > PIECE))
+    p = p[long & (p > head) & (p + WINDOW <= stop)]
+    new = np.unique(p + least[p])
+    where = begin[new] if chars is None else np.searchsorted(chars, begin[new])
+    at, k = np.unique(np.append(at, where), return_index=True)
+    return at, np.append(np.append(first[:-1], new)[k], n), h
+
+
+def sentences(text: str) -> list[int]:
+    """Start of each piece, in characters; from the second on, where the gap before it ends."""
+    return _pieces(text)[0].tolist()
+
+
+def _spans(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, sentence after the last, hash) of each span."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, first, h = _pieces(text)
     m = len(at)
+    if m < 2 or len(h) < min_words:
+        return none
     some, k = np.diff(first) > 0, np.arange(m)
     stop = np.maximum(np.searchsorted(first, first[:m] + min_words), k + 2)
     ok = some & (stop <= m)
@@ -71,7 +95,6 @@ def _spans(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     ok, stop = both // (m + 1), both % (m + 1)
     if not len(ok):
         return none
-    h = T.span_hashes(data, begin, end)
     run = np.append(np.uint64(0), np.cumsum(h * T._power(T._BASE, len(h))))
     a, b = first[ok], first[stop]
     hashed = T.mix((run[b] - run[a]) * T._power(T._INVERSE, len(h) + 1)[a] + (b - a).astype(np.uint64))
@@ -143,10 +166,16 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _marked(spans: DataFrame) -> DataFrame:
     """The spans to remove of each document that has any, as a table."""
-    first = spans.groupBy("h").agg(F.min("doc_id").alias("d0"), F.count("*").alias("c")).where("c > 1").select("h", "d0")
-    marked = salted_join(spans, first, ["h"]).where("doc_id != d0 or again")
+    first = materialize(spans.groupBy("h").agg(F.min("doc_id").alias("d0"), F.count("*").alias("c")).where("c > 1"))
+    least = HOT_SHARE * (first.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] or 0)
+    # Hot spans are few: their rows are marked where they are and don't meet in one task.
+    near = spans.join(F.broadcast(first.where(F.col("c") >= least + 2).select("h", "d0")), "h", "left")
+    rest = near.where("d0 is null").drop("d0").join(first.where(F.col("c") < least + 2).select("h", "d0"), "h")
+    marked = near.where("d0 is not null").unionByName(rest).where("doc_id != d0 or again")
     return materialize(marked.groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("_spans")))
 
 
+#: Least share of all repeated spans that a span has whose rows aren't shuffled to it.
+HOT_SHARE = 1 / 65536
 #: Marked documents and spans (8 bytes each) up to which the marks are broadcast to the texts.
 BROADCAST_ROWS = 1_000_000

@@ -155,6 +155,28 @@ def test_span_dedup_against_plain_version(spark):
     assert sum(any(want[d] != t for _ in [0]) for d, t in rows) > 5
 
 
+def test_repeated_runs_of_fifty_words_go(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(1, 8)))
+    rows, shared = [], []
+    for k in range(60):  # passages of 50 words, with and without marks, between other words
+        plain = k % 3 == 0
+        shared.append(" ".join(word() + ("" if plain or rng.random() < 0.9 else rng.choice([",", ";", ".", "!"])) for _ in range(50)))
+    for k in range(120):
+        gap = lambda n: [word() for _ in range(rng.randrange(n))]
+        rows.append((k, " ".join([*gap(60), shared[k % 60], *gap(60)])))
+    rows += [(200, "one " * 80), (201, "two " * 5 + "one " * 60)]
+    got = {r["doc_id"]: r["text"] for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    runs, again = {}, set()
+    for d, t in sorted(got.items()):
+        w = t.split()
+        for i in range(len(w) - 49):
+            if runs.setdefault(tuple(w[i : i + 50]), d) != d:
+                again.add(d)
+    assert not again
+    assert all(got[k] == rows[k][1] for k in range(60)) and all(len(got[k]) < len(rows[k][1]) for k in range(60, 120))
+
+
 def test_span_dedup_edges(spark):
     docs = edge_docs(spark)
     found = span_dedup.remove_repeats(docs).collect()
