@@ -391,8 +391,9 @@ def share_log2_ratio(spark, d):
 
 @register("pivot_topic_format", "SELECT lang AS topic, " + ", ".join(f"nullif(count(*) FILTER (WHERE source = 'src{k}'), 0) AS src{k}" for k in range(20)) + " FROM documents GROUP BY 1")
 def pivot_topic_format(spark, d):
-    g = table(spark, d, "documents").groupBy(F.col("lang").alias("topic"), F.col("source").alias("format")).agg(F.count("*").alias("n"))
-    return bins.pivot(g, "n", [f"src{k}" for k in range(20)])
+    g = table(spark, d, "documents").groupBy(F.col("lang").alias("topic"), F.coalesce("source", F.lit("null")).alias("format")).agg(F.count("*").alias("n"))
+    usual = [f"src{k}" for k in range(20)]
+    return bins.pivot(g, "n", usual + sorted({r[0] for r in g.select("format").distinct().collect()} - set(usual)))
 
 
 @register("merge_typo_labels", "SELECT CASE WHEN p_brand = 'Brand#11' THEN 'Brand#12' ELSE p_brand END AS label, count(*) AS doc_count, round(sum(p_retailprice) / count(*), 4) AS score_mean FROM part GROUP BY 1")

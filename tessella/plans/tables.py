@@ -31,7 +31,7 @@ def vectors(spark: SparkSession, d: str, keys: bool = False) -> tuple[DataFrame,
     """(index, queries): vectors from 50 on, and the first 50; with ``keys`` cut into two modules."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     if keys:
-        halves = F.explode(F.map_from_arrays(F.array(F.lit("k0"), F.lit("k1")), F.array(F.slice("vec", 1, 32), F.slice("vec", 33, 32))))
+        halves = F.explode(F.map_from_arrays(F.array(F.lit("k0"), F.lit("k1")), F.array(F.slice("vec", 1, 32), F.slice("vec", 33, F.greatest(F.size("vec") - 32, F.lit(0))))))
         rows = rows.select("id", halves.alias("grad_key", "vec"))
     return rows.where("id >= 50"), rows.where("id < 50")
 

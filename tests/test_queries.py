@@ -78,3 +78,14 @@ def test_bin_aggregate_has_no_forced_broadcast(spark, capsys):
         assert "BroadcastHashJoin" not in explained(catalog.queries()["bin_mean_abs_std"](spark, DATA), capsys)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pivot_and_modules_hold_the_whole_table(spark, tmp_path):
+    from tessella.plans import catalog, tables
+
+    spark.createDataFrame([("en", "src3"), ("en", "web"), ("fr", None)], "lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(60, [float(k) for k in range(70)])], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = {r["topic"]: r.asDict() for r in catalog.queries()["pivot_topic_format"](spark, str(tmp_path)).collect()}
+    assert rows["en"]["src3"] == rows["en"]["web"] == rows["fr"]["null"] == 1
+    index, _ = tables.vectors(spark, str(tmp_path), keys=True)
+    assert sorted(len(r["vec"]) for r in index.collect()) == [32, 38]
