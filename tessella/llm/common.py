@@ -36,12 +36,15 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context names one (tests), a temporary folder is set.
+    Only where neither the session nor the context names one, one is set: a folder in the warehouse,
+    or, where driver and executor are one process (tests), a temporary folder.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(found)
+        one = context.master.split("[")[0] == "local"
+        found = tempfile.mkdtemp(prefix="tessella-") if one else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessella-shared"
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 

@@ -7,6 +7,7 @@ from one running sum, and then mixed.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,6 @@ CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROLL = np.random.default_rng(7).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.ones(256, dtype=bool)
@@ -100,14 +100,21 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix((run[ends] - run[starts]) * _power(_INVERSE, n + 1)[starts])
 
 
+@functools.lru_cache(16)
+def _weights(size: int) -> np.ndarray:
+    """As many odd random numbers; the first are the same for every size."""
+    return np.random.default_rng(7).integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def sequence_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each ``size`` neighbours in ``h``."""
+    """A hash of each ``size`` neighbours in ``h``, each with a weight of its own."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = h[:n] * _ROLL[0]
+    weights = _weights(size)
+    out = h[:n] * weights[0]
     for k in range(1, size):
-        out += h[k : k + n] * _ROLL[k % 8] + np.uint64(k)
+        out += h[k : k + n] * weights[k]
     return mix(out)
 
 

@@ -4,7 +4,8 @@ A byte-level BPE tokenizer whose split pattern never joins a character with a fo
 the same ids for a text as for its pieces "word", " word", " word" one after another, as long as
 each space stands alone between other characters. So each distinct piece is encoded once a worker,
 and all pieces of a batch are looked up together by a 64-bit hash in an open-addressing table. Texts
-with other runs of white space are encoded whole.
+with other runs of white space, or with one of the tokenizer's added tokens (``<|endoftext|>``, which
+the library reads as one id), are encoded whole.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def plain(text: str) -> bool:
+def plain(text: str, added: tuple[str, ...] = ()) -> bool:
     """Whether pieces between spaces can be encoded on their own."""
-    return not any(x in text for x in _BESIDE) and (text.isascii() or not _RARE.search(text))
+    return not any(x in text for x in (*_BESIDE, *added)) and (text.isascii() or not _RARE.search(text))
 
 
 class Encoder:
@@ -45,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         found = self.whole(["a\n b"])[0]
         self.line = found[1] if len(found) == 3 else None
         self.n, self.used = 0, 0
@@ -120,7 +121,7 @@ class Encoder:
             self.n, self.used = KEPT, int(self.start[KEPT])
             self._clear()
             self._insert(self.key[:KEPT].copy(), np.arange(KEPT))
-        easy = [bool(t) and plain(t) for t in texts]
+        easy = [bool(t) and plain(t, self.added) for t in texts]
         raw = [t.encode("utf-8", "surrogatepass") for t, ok in zip(texts, easy, strict=True) if ok]
         hard = iter(self.whole([t for t, ok in zip(texts, easy, strict=True) if t and not ok]))
         if raw:
