@@ -578,10 +578,11 @@ def plain_links(rows, threshold):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("tile", [2048, 8])
-def test_embedding_links_against_all_pairs(spark, monkeypatch, tile):
-    monkeypatch.setattr(embedding_dedup, "TILE", tile)
-    rng = np.random.default_rng(tile)
+@pytest.mark.parametrize("tile,in_cell", [(1 << 16, 512), (16, 5)])
+def test_embedding_links_against_all_pairs(spark, monkeypatch, tile, in_cell):
+    monkeypatch.setattr(embedding_dedup, "TILE_BYTES", tile)
+    monkeypatch.setattr(embedding_dedup, "IN_CELL", in_cell)
+    rng = np.random.default_rng(in_cell)
     base = rng.normal(size=(12, 16))
     rows = [(k, (base[k % 12] + rng.normal(size=16) * rng.choice([0.05, 0.2, 0.3])).astype(np.float32).tolist()) for k in range(90)]
     rows += [(100, None), (101, []), (102, [0.0] * 16), (103, [1.0, None] * 8), (104, [math.nan] * 16), (105, [math.inf] * 16), (106, [1.0, 2.0]), (107, [2.0, 4.0]), (108, rows[0][1]), (109, rows[0][1]), (None, rows[0][1]), (110, [1e-30] * 16), (111, [1e30] * 16)]
@@ -599,8 +600,40 @@ def test_quantisation_bound_holds():
     rows, scale, error = embedding_dedup.quantise(unit)
     near = (rows.astype(np.int64) @ rows.astype(np.int64).T) * scale[:, None] * scale
     assert (np.abs(unit @ unit.T - near) <= error[:, None] + error + error[:, None] * error + 1e-12).all()
-    i, j = embedding_dedup.tile_links(embedding_dedup._Tile(range(300), [1] * 300, unit.tobytes(), 64), None, 0.3)
-    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.3, 1)))}
+    for left, right in ((unit, None), (unit[:200], unit[150:])):
+        i, j, p, q = embedding_dedup.tile_links(*(None if x is None else embedding_dedup.Tile(*embedding_dedup.Tile.of(x)) for x in (left, right)), 0.3, 4000)
+        cos = unit @ unit.T if right is None else left @ right.T
+        want = np.triu(cos, 1) if right is None else cos
+        assert set(zip(i.tolist(), j.tolist())) | {(a, b) for a, b in zip(p.tolist(), q.tolist()) if want[a, b] >= 0.3} == {(a, b) for a, b in zip(*np.nonzero(want >= 0.3))}
+
+
+def test_bounds_leave_ties_to_double_precision():
+    unit = np.array([[1.0, 0, 0], [0.6, 0.8, 0], [0.6, 0, 0.8]])
+    found = embedding_dedup.tile_links(embedding_dedup.Tile(*embedding_dedup.Tile.of(unit)), None, 0.6)
+    assert [x.tolist() for x in found] == [[], [], [0, 0], [1, 2]]
+
+
+def test_caps_keep_links():
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(400, 6))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    pivots, limit = unit[:5], math.acos(0.9)
+    parts = [np.array(sorted(x)) for x in np.array_split(rng.permutation(400), 40)]
+    caps = [embedding_dedup.Cap.unpack(embedding_dedup.Cap.of(unit[p], pivots).pack(), 6) for p in parts]
+    wide = [embedding_dedup.Cap.around(caps[k : k + 4]) for k in range(0, 40, 4)]
+    for k, p in enumerate(parts):
+        near, nearly = embedding_dedup.Caps(caps).near(caps[k], limit), embedding_dedup.Caps(wide).near(caps[k], limit)
+        for j, q in enumerate(parts):
+            assert near[j] <= nearly[j // 4] and ((unit[p] @ unit[q].T).max() < 0.9 or near[j])
+
+
+def test_clustered_vectors_skip_most_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 24))
+    vectors = [(k, (base[k % 12] + 0.1 * rng.normal(size=24)).tolist()) for k in range(12_000)]
+    _, classes = embedding_dedup._classes(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>"))
+    n, m = embedding_dedup.compare(classes, 0.95).where(f"kind = {embedding_dedup.WORK}").selectExpr("sum(n)", "sum(m)").first()
+    assert n < 0.3 * 12_000 * 11_999 / 2 and n + m <= 12_000 * 11_999 / 2
 
 
 def test_sequence_hashes_tell_every_order():
