@@ -289,11 +289,23 @@ def test_packing_edges(spark):
     assert padding == 0
 
 
-def test_cutting_stock_fits_and_prices():
-    counts = np.bincount(np.random.default_rng(0).integers(1, 65, 5000), minlength=65)
-    patterns, times = packing.cutting_stock(counts, 64)
-    assert (patterns @ np.arange(65) == 64).all() and (patterns.T @ times <= counts).all()
-    assert (patterns.T @ times).sum() > 0.9 * counts.sum()
+def test_packing_keeps_texts_whole(spark):
+    rng = random.Random(2)
+    rows = [(k, say(k, 1 + int(300 * rng.random() ** 2))) for k in range(1500)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert check_packing(found, rows, 1024)[0] == 0
+    whole = {r["doc_id"] for r in found if r["length"] == r["doc_tokens"]}
+    assert len(whole) >= 0.95 * len({r["doc_id"] for r in found if r["doc_tokens"] <= 1024})
+
+
+def test_cutting_stock_takes_every_piece_and_prices():
+    rng = np.random.default_rng(0)
+    for n, top, capacity in ((5000, 65, 64), (300, 1024, 1024), (3, 500, 1024), (20_000, 1024, 1024)):
+        counts = np.bincount(rng.integers(1, top, n), minlength=capacity + 1)
+        patterns, times = packing.cutting_stock(counts, capacity)
+        sizes = np.arange(capacity + 1)
+        assert (patterns @ sizes <= capacity).all() and (patterns.T @ times == counts).all()
+        assert times.sum() <= 1.02 * (counts @ sizes) / capacity + 2
     value = np.zeros(11)
     value[[3, 4, 7]] = 3.1, 4.0, 7.2
     assert packing.price(value, 10)[[3, 4, 7]].tolist() == [1, 0, 1]
