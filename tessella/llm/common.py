@@ -15,8 +15,8 @@ from pyspark.sql.types import StructType
 
 from tessella.ship import ship
 
-#: Key salts of `salted_join`; a key's rows go to as many tasks at most.
-SALTS = 16
+#: Rows of a key from which `salted_join` splits it, and such keys at most.
+SPLIT_ROWS, HOT_KEYS = 64, 4096
 #: Rows of an Arrow batch at most.
 TEXTS_PER_BATCH = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -106,12 +106,25 @@ def release(spark: SparkSession, made: list[str], *keep: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """``rows`` joined with ``unique`` (one row a key): a hot key's rows are dealt to ``salts``
-    tasks, each with its own copy of the key's row. ``how``: inner, left or left_semi."""
-    spread_by = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    spread = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``unique`` (one row a key), hot keys split. ``how``: inner, left or left_semi.
+
+    Rows are counted by key first (``counts``, of columns keys and c, says it where that is known). Of
+    the keys with more than `SPLIT_ROWS` rows the `HOT_KEYS` most frequent, a table that is always small,
+    are broadcast to both sides: their rows are dealt to more tasks the more there are, each with a
+    copy of the key's row. Any other key has less than one in `HOT_KEYS` of the rows. Rows with a
+    null in the key, which match nothing, are dealt to all tasks.
+    """
+    most = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("c"))
+    many = F.least(F.ceil(F.col("c") / SPLIT_ROWS), F.lit(most)).cast("int").alias("_many")
+    hot = F.broadcast(counts.where(F.col("c") > SPLIT_ROWS).orderBy(F.desc("c"), *keys).limit(HOT_KEYS).select(*keys, many))
+    spread_by = F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind])
+    nowhere = F.expr(" or ".join(f"`{k}` is null" for k in keys))
+    salt = F.when(nowhere, F.pmod(spread_by, F.lit(most))).when(F.col("_many").isNotNull(), F.pmod(spread_by, F.col("_many"))).otherwise(0)
+    salted = rows.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_many")
+    spread = unique.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_many", F.lit(1)) - 1))).drop("_many")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -135,10 +148,10 @@ def _settled(spark: SparkSession, e: DataFrame, made: list[str]) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("t").alias("s"), F.col("s").alias("t")))
-        low = both.groupBy("s").agg(F.min("t").alias("m")).select("s", F.least("s", "m").alias("m"))
-        large = salted_join(both, low, ["s"]).where("t > s").select(F.col("t").alias("s"), F.col("m").alias("t")).distinct()
-        low = large.groupBy("s").agg(F.min("t").alias("m"))
-        small = salted_join(large, low, ["s"]).where("t != m").select(F.col("t").alias("s"), F.col("m").alias("t"))
+        low = both.groupBy("s").agg(F.min("t").alias("m"), F.count("*").alias("c")).select("s", F.least("s", "m").alias("m"), "c")
+        large = salted_join(both, low.select("s", "m"), ["s"], counts=low.select("s", "c")).where("t > s").select(F.col("t").alias("s"), F.col("m").alias("t")).distinct()
+        low = large.groupBy("s").agg(F.min("t").alias("m"), F.count("*").alias("c"))
+        small = salted_join(large, low.select("s", "m"), ["s"], counts=low.select("s", "c")).where("t != m").select(F.col("t").alias("s"), F.col("m").alias("t"))
         e = materialize(small.unionByName(low.select("s", F.col("m").alias("t"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("s", "t").cast("decimal(38,0)"))).first()
         release(spark, made, e)

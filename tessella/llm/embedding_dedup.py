@@ -381,9 +381,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """
     rows, classes = _classes(vectors)
     found = compare(classes, threshold)
-    unit = classes.select(F.col("cid").alias("a"), F.col("unit").alias("ua")), classes.select(F.col("cid").alias("b"), F.col("unit").alias("ub"))
-    exact = salted_join(salted_join(found.where(f"kind = {OPEN}").select("a", "b", "n", "m"), unit[0], ["a"]), unit[1], ["b"])
-    exact = materialize(exact.mapInArrow(trimmed(_exact_rows), "a bigint, b bigint, n bigint, m bigint, cos double").where(F.col("cos") >= threshold))
+    exact = found.where(f"kind = {OPEN}").select("a", "b", "n", "m")
+    for k in "ab" if not exact.isEmpty() else "":
+        exact = salted_join(exact, classes.select(F.col("cid").alias(k), F.col("unit").alias(f"u{k}")), [k])
+    exact = exact.limit(0) if "ua" not in exact.columns else materialize(exact.mapInArrow(trimmed(_exact_rows), "a bigint, b bigint, n bigint, m bigint, cos double").where(F.col("cos") >= threshold))
 
     counts = found.where(f"kind = {LINKS}").select(F.col("a").alias("cid"), "n")
     counts = counts.unionByName(exact.select(F.col("a").alias("cid"), F.col("m").alias("n"))).unionByName(exact.select(F.col("b").alias("cid"), "n")).groupBy("cid").agg(F.sum("n").alias("n"))

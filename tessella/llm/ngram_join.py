@@ -121,8 +121,10 @@ def _prefix_rows(num: int, den: int):
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, long) with both sizes, the overlap and, if long, the symmetric difference."""
-    pairs = pairs.join(sets.select(F.col("cid").alias("a"), F.col("sh").alias("sa")), "a")
-    pairs = pairs.join(sets.select(F.col("cid").alias("b"), F.col("sh").alias("sb")), "b")
+    pairs = materialize(pairs)
+    per = pairs.groupBy("b").agg(F.count("*").alias("c"))  # many members of a large group have one pivot
+    pairs = salted_join(pairs, sets.select(F.col("cid").alias("a"), F.col("sh").alias("sa")), ["a"])
+    pairs = salted_join(pairs, sets.select(F.col("cid").alias("b"), F.col("sh").alias("sb")), ["b"], counts=per)
     diff = F.when(F.col("long"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
     return pairs.select("a", "b", "long", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"), diff.alias("diff"))
 
@@ -140,7 +142,8 @@ def _by_difference(star: DataFrame, comps: DataFrame, num: int, den: int) -> Dat
     item = materialize(member.select("p", "cid", "n", "e", "comp", F.explode("diff").alias("el")))
     mixed = item.groupBy("p", "el").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("p", "el")
     main = member.groupBy("p", "comp").agg(F.count("*").alias("c")).groupBy("p").agg(F.max(F.struct("c", "comp")).alias("m")).select("p", F.col("m.comp").alias("main"))
-    item = salted_join(salted_join(item, mixed, ["p", "el"], "left_semi", salts=4), main, ["p"])
+    per = item.groupBy("p").agg(F.count("*").alias("c"))
+    item = salted_join(salted_join(item, mixed, ["p", "el"], "left_semi"), main, ["p"], counts=per)
     item = materialize(item.withColumn("r", F.count("*").over(Window.partitionBy("p", "cid"))))
     x, y = item.where("comp != main").alias("x"), item.alias("y")
     over = f"(x.e + y.e) * {den + num} - (x.n + y.n) * {den - num}"
@@ -173,9 +176,9 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
 
     # 1. Screening. Copies have one cid, so a shingle that only they hold isn't shared.
     tokens = usable.select("cid", F.explode("pre").alias("tok"))
-    shared = tokens.groupBy("tok").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo != hi").select("tok")
+    shared = tokens.groupBy("tok").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("tok", "c")
     need = classes.select("cid", "rep", F.expr(f"copies * (1 + least(int({SCREEN} * n), greatest(ceil({num} * n / {den}) - 1, 0)))").alias("need"))
-    found = tokens.join(shared, "tok", "left_semi").groupBy("cid").agg(F.count("*").alias("k"))
+    found = salted_join(tokens, shared.select("tok"), ["tok"], "left_semi", counts=shared).groupBy("cid").agg(F.count("*").alias("k"))
     active = materialize(found.join(need, "cid").where("k >= need").select("cid", F.col("rep").alias("doc_id")))
 
     # 2. Exact frequencies and prefixes of the classes that are left.
@@ -186,13 +189,14 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     sets = materialize(sets)
     rows = sets.select("cid", F.explode("sh").alias("tok"))
     df = rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    lists = rows.join(df, "tok").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("ts")).join(sets.select("cid", "n"), "cid")
+    lists = salted_join(rows, df, ["tok"], counts=df.withColumnRenamed("df", "c")).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("ts")).join(sets.select("cid", "n"), "cid")
     prefix = materialize(lists.select("cid", "n", "ts").mapInArrow(trimmed(_prefix_rows(num, den)), "tok bigint, pos bigint, cid bigint, n bigint, u bigint, l bigint"))
 
     # 3. Stars. In long lists every member is compared with the pivot, and keeps its difference.
     pivot = prefix.groupBy("tok").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("r"), F.col("cid").alias("b"), F.col("n").alias("bn"))).alias("p"), F.count("*").alias("size"))
-    pivot = materialize(pivot.select("tok", "p.b", "p.bn", (F.col("size") > LONG).alias("long")))
-    votes = salted_join(prefix.select("tok", F.col("cid").alias("a"), "n"), pivot, ["tok"]).where(f"a != b and (long or {den} * least(n, bn) >= {num} * greatest(n, bn))")
+    pivot = materialize(pivot.select("tok", "p.b", "p.bn", (F.col("size") > LONG).alias("long"), F.col("size").alias("c")))
+    per = pivot.select("tok", "c")
+    votes = salted_join(prefix.select("tok", F.col("cid").alias("a"), "n"), pivot.drop("c"), ["tok"], counts=per).where(f"a != b and (long or {den} * least(n, bn) >= {num} * greatest(n, bn))")
     votes = votes.groupBy("a", "b").agg(F.count("*").alias("v"), F.max("long").alias("long"))
     best = votes.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("v"), "b"))).where(f"long or r <= {PIVOTS}")
     star = materialize(_compared(best.select("a", "b", "long"), sets))
@@ -202,9 +206,9 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
 
     # 4. What links different components: from short lists by shared prefix shingles,
     placed = materialize(prefix.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root"))
-    short = salted_join(placed, pivot.where("not long").select("tok"), ["tok"], "left_semi")
+    short = salted_join(placed, pivot.where("not long").select("tok"), ["tok"], "left_semi", per)
     mixed = short.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).where("k > 1")
-    short = materialize(salted_join(short, mixed.select("tok", F.col("m.comp").alias("main")), ["tok"]))
+    short = materialize(salted_join(short, mixed.select("tok", F.col("m.comp").alias("main")), ["tok"], counts=per))
     x, y = short.where("comp != main").alias("x"), short.alias("y")
     least = f"ceil({num} * (x.n + y.n) / {den + num})"
     near = x.join(y, F.expr(f"""x.tok = y.tok and x.comp != y.comp and (y.comp = y.main or x.cid < y.cid)
@@ -220,7 +224,7 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
 
     # 5. From classes back to rows; classes of one row that nothing links keep their own id.
     named = groups.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cid", "component_id")
+    named = salted_join(named, named.groupBy("root").agg(F.min("rep").alias("component_id")), ["root"]).select("cid", "component_id")
     lookup = classes.select("cid", "rep", "copies").join(named, "cid", "left").where("copies > 1 or component_id is not null")
     lookup = materialize(lookup.select("cid", F.coalesce("component_id", "rep").alias("component_id")))
     return materialize(screened.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("cid")).alias("cid"))), lookup
