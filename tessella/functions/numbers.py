@@ -16,13 +16,15 @@ LOG2_E = 1.4426950408889634
 
 
 def tokens_rounded(words: Column) -> Column:
-    """int(words * 1.35 + 0.5), at least 1; without words 0."""
-    return F.when(words > 0, F.greatest(F.lit(1), F.floor(words * F.lit(TOKENS_PER_WORD) + F.lit(0.5)))).otherwise(F.lit(0)).cast("bigint")
+    """int(words * 1.35 + 0.5), which is 1 at least from one word on; without words 0. ``words`` stands
+    once, so that what it takes to count them is done once."""
+    return F.greatest(F.lit(0), F.floor(words * F.lit(TOKENS_PER_WORD) + F.lit(0.5))).cast("bigint")
 
 
 def tokens_ceiled(words: Column) -> Column:
-    """ceil(words * 1.35), at least 1; without words 0. Differs from `tokens_rounded` on purpose."""
-    return F.when(words > 0, F.greatest(F.lit(1), F.ceil(words * F.lit(TOKENS_PER_WORD)))).otherwise(F.lit(0)).cast("bigint")
+    """ceil(words * 1.35), which is 2 at least from one word on; without words 0. Differs from
+    `tokens_rounded` on purpose."""
+    return F.greatest(F.lit(0), F.ceil(words * F.lit(TOKENS_PER_WORD))).cast("bigint")
 
 
 def tokens_truncated(words: Column) -> Column:

@@ -10,6 +10,9 @@ from tessella import taxonomy
 #: What str.split() takes for white space, inside a character class.
 SPACE = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Of these, what the pattern \\s leaves out.
+_OTHER_SPACE = "".join(chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
 
 def lookup(values: dict[str, str], key: Column, default: Column | None = None) -> Column:
     """The value of ``key``, or ``default`` (null)."""
@@ -18,8 +21,9 @@ def lookup(values: dict[str, str], key: Column, default: Column | None = None) -
 
 
 def word_count(text: Column) -> Column:
-    """len(text.split()); null is 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0))
+    """len(text.split()); null is 0. Other white space becomes a space first, because the short class
+    takes a quarter of the time that the long one does."""
+    return F.coalesce(F.regexp_count(F.translate(text, _OTHER_SPACE, " " * len(_OTHER_SPACE)), F.lit(r"\S+")), F.lit(0))
 
 
 def is_blank(text: Column) -> Column:

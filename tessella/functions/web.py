@@ -61,9 +61,9 @@ def source_category(path: Column) -> Column:
 
 
 def language(name: Column, scores: Column) -> Column:
-    """A given name, else the best of a map of scores; of equal scores the smaller name."""
-    best = F.array_sort(F.map_entries(scores), lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1))
-    return F.coalesce(name, F.try_element_at(best, F.lit(1))["key"])
+    """A given name, else the best of a map of scores; of equal scores the first."""
+    at = F.array_position(F.map_values(scores), F.array_max(F.map_values(scores)))
+    return F.coalesce(name, F.when(at > 0, F.element_at(F.map_keys(scores), at.cast("int"))))
 
 
 def is_sha256(text: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,24 +99,40 @@ def compile_queries(evidence: DataFrame, condition: str, objective: str, rule: s
     )
 
 
-def word_offsets(text: Column) -> Column:
-    """Words with their start and end in code points: the offline stand-in for a tokenizer's offsets."""
-    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
-    gaps = F.split(text, r"\S+")
-    ends = F.transform(words, lambda w, i: F.aggregate(F.slice(words, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)))
-    return F.zip_with(words, ends, lambda w, e: F.struct((e - F.length(w)).alias("start"), e.alias("end")))
+_SPANS = "array<struct<id:int,start:int,end:int>>"
 
 
-def rendered(compiled: DataFrame) -> DataFrame:
-    """Compiled queries with the words of prompt and target, and a mask of those that are scored: the
-    target's, all of a joint sequence, or the last word of a bare prompt."""
-    whole = F.concat_ws("", "prompt", "target")
-    offsets = word_offsets(whole)
+def offsets(text: Column, tokenizer: str | None = None) -> Column:
+    """Tokens of a text with their start and end in code points: those of a tokenizer file, without
+    special tokens, or, without one, words (which have no id). Null stays null."""
+
+    def found(x: str, held) -> list[dict]:
+        if held is None:
+            return [{"id": None, "start": m.start(), "end": m.end()} for m in re.finditer(r"\S+", x)]
+        e = held.encode(x, add_special_tokens=False)
+        return [{"id": i, "start": a, "end": b} for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
+
+    @F.pandas_udf(_SPANS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held = None
+        if tokenizer is not None:
+            from tokenizers import Tokenizer
+
+            held = Tokenizer.from_file(tokenizer)
+        for texts in batches:
+            yield texts.map(lambda x: None if x is None else found(x, held))
+
+    return run(text)
+
+
+def rendered(compiled: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Compiled queries with the tokens of prompt and target, and a mask of those that are scored: the
+    target's, all of a joint sequence, or the last token of a bare prompt."""
     border = F.length("prompt")
     mask = F.when(F.col("objective") == "joint_sequence", F.transform("offsets", lambda x: F.lit(True))).when(
         F.col("objective") == "prompt_next_token", F.transform("offsets", lambda x, i: i == F.size("offsets") - 1)
     ).otherwise(F.transform("offsets", lambda x: x["end"] > border))
-    return compiled.withColumn("offsets", offsets).withColumn("scored", mask)
+    return compiled.withColumn("offsets", offsets(F.concat_ws("", "prompt", "target"), tokenizer)).withColumn("scored", mask)
 
 
 def spans_contiguous(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import web
+from tessella.operators.sampling import numbered
 
 
 def canonical_json(value: object) -> bytes:
@@ -56,16 +57,24 @@ def row_digests(frame: DataFrame, key: str, content: str) -> DataFrame:
     return frame.select(key, F.sha2(content, 256).alias("sha256"))
 
 
-def ordered_digest(frame: DataFrame, order: list[str], value: str, parts: int = 64) -> DataFrame:
-    """One digest of a column in order: values are length-prefixed and hashed by ranges of the first
-    order column (a number), and the parts' digests, in order, once more."""
-    bounds = frame.approxQuantile(order[0], [k / parts for k in range(1, parts)], 0.001)
-    part = F.lit(0)
-    for k, bound in enumerate(sorted(set(bounds))):
-        part = F.when(F.col(order[0]) > bound, k + 1).otherwise(part)
+#: Digests that one digest covers.
+FAN = 4096
+
+
+def ordered_digest(frame: DataFrame, order: list[str], value: str) -> DataFrame:
+    """One digest of a column in order: that of a tree, in which a node is the digest of `FAN` digests
+    below it, one after another, and a leaf that of a length-prefixed value. Three levels, so the last
+    node has a row for 16 million."""
     item = F.sha2(F.concat(F.octet_length(value).cast("string"), F.lit(":"), F.col(value)), 256)
-    rows = frame.select(part.alias("_p"), F.struct(*order, item.alias("_v")).alias("_s")).groupBy("_p").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["_v"]), ""), 256).alias("_h"), F.count("*").alias("n"))
-    return rows.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"]), ""), 256).alias("sha256"))
+    rows = numbered(frame.select(*order, item.alias("_h")), order).select("_i", "_h", F.lit(1).alias("n"))
+
+    def node(parts: DataFrame, *by) -> DataFrame:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"]), "")
+        return parts.groupBy(*by).agg(F.sha2(joined, 256).alias("_h"), F.sum("n").alias("n"))
+
+    for _ in range(2):
+        rows = node(rows, F.floor(F.col("_i") / FAN).alias("_i"))
+    return node(rows).select("n", F.col("_h").alias("sha256"))
 
 
 def multiset_digest(frame: DataFrame, columns: list[str]) -> DataFrame:

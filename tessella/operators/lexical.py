@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import word_count
@@ -77,9 +77,9 @@ def densities(counts: DataFrame, docs: DataFrame) -> DataFrame:
 
 def composite(features: DataFrame, columns: list[str], name: str = "composite") -> DataFrame:
     """Mean z-score of the features (sample deviation; without spread 0)."""
-    w = Window.partitionBy()
-    z = [F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(w), F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))), F.lit(0.0)) for c in columns]
-    return features.withColumn(name, sum(z[1:], z[0]) / len(z))
+    moments = features.agg(*[f(c).alias(f"_{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_samp))])  # one row
+    z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m{i}"), F.nullif(F.col(f"_s{i}"), F.lit(0.0))), F.lit(0.0)) for i, c in enumerate(columns)]
+    return features.join(F.broadcast(moments)).withColumn(name, sum(z[1:], z[0]) / len(z)).drop(*moments.columns)
 
 
 def format_group(format_: Column) -> Column:

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 
 
 def latex_escape(text: str) -> str:
-    for mark in "\\&%$#_{}":
-        text = text.replace(mark, "\\textbackslash{}" if mark == "\\" else "\\" + mark) if mark != "{" and mark != "}" else text
-    return text
+    return "".join("\\textbackslash{}" if c == "\\" else "\\" + c if c in "&%$#_{}" else c for c in text)
 
 
 def humanize(n: float) -> str:

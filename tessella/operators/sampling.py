@@ -1,4 +1,8 @@
-"""Reproducible samples. The order of a sample is that of md5(id:seed), so any engine draws the same."""
+"""Reproducible samples. The order of a sample is that of md5(id:seed), so any engine draws the same.
+
+Row numbers and running sums over a whole table come from ranges and their totals (`numbered`, `prefix`): no
+task holds the table.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Ranges that `round_robin` numbers rows in.
-PARTS = 64
+from tessella.shared import written
 
 
 def draw_key(id_: Column, seed: int) -> Column:
@@ -40,12 +42,13 @@ def stratified(manifest: DataFrame, n: int, token_floor: int, seed: int = 42) ->
 def representative(manifest: DataFrame, taken: DataFrame, token_target: int, seed: int = 42) -> DataFrame:
     """From what isn't taken, each bin's share of the token target (truncated), in drawn order up to
     the document that would exceed it. Running sums are cut into blocks of rank, so that no bin is
-    one task's work alone: see `prefix`."""
+    one task's work alone: see `prefix`. Tokens are counted once, in a table."""
     rest = manifest.join(taken.select("doc_id"), "doc_id", "left_anti").where("topic is not null and format is not null")
+    rest = written(rest.withColumn("_key", draw_key(F.col("doc_id"), seed)))
     totals = rest.groupBy("topic", "format").agg(F.sum("token_count").alias("_bin"))
     all_tokens = totals.agg(F.sum("_bin").alias("_all"))
     goals = totals.join(F.broadcast(all_tokens)).select("topic", "format", F.floor(F.lit(token_target) * (F.col("_bin") / F.col("_all"))).alias("_goal"))
-    rows = prefix(rest.withColumn("_key", draw_key(F.col("doc_id"), seed)), ["topic", "format"], ["_key", "doc_id"], "token_count", "_sum")
+    rows = prefix(rest, ["topic", "format"], ["_key", "doc_id"], "token_count", "_sum")
     return rows.join(F.broadcast(goals), ["topic", "format"]).where("_sum <= _goal").drop("_key", "_sum", "_goal")
 
 
@@ -60,10 +63,36 @@ def prefix(frame: DataFrame, by: list[str], order: list[str], value: str, name:
     return rows.withColumn("_in", inside).join(before, [*by, "_part"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
+#: Rows that a range of `numbered` holds, about.
+RANGE_ROWS = 1_000_000
+
+
+def numbered(frame: DataFrame, order: list[str], value: str | None = None) -> DataFrame:
+    """``frame`` with ``_i``, the number of each row in order from 0, and, with a ``value``, ``_sum``, its
+    running sum. Rows are dealt to ranges of the order, more of them the more rows there are; numbers
+    and sums within a range, plus those of the ranges before it, which are a row a range. A range
+    takes whole ties of ``order``, so give one that is unique, or nearly."""
+    spark = frame.sparkSession
+    ranges = max(frame.count() // RANGE_ROWS + 1, min(8, spark.sparkContext.defaultParallelism))
+    rows = frame.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    rows = written(rows)
+    sums = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.sum(value or F.lit(0)).alias("_s"))
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = sums.select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_s0"))
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    made = {"_i": F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1} | ({"_sum": F.sum(value).over(inside)} if value else {})
+    out = rows.withColumns(made).join(F.broadcast(before), "_p").withColumn("_i", F.col("_i") + F.col("_n0"))
+    return (out.withColumn("_sum", F.col("_sum") + F.col("_s0")) if value else out).drop("_p", "_n0", "_s0")
+
+
 def budget(frame: DataFrame, order: list[str], value: str, limit: int, by: list[str] | None = None) -> DataFrame:
     """Rows in order until the budget is reached; the row that reaches it is in."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return frame.withColumn("_sum", F.sum(value).over(w)).where(F.col("_sum") - F.col(value) < limit).drop("_sum")
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = frame.withColumn("_sum", F.sum(value).over(w))
+    else:
+        rows = numbered(frame, order, value).drop("_i")
+    return rows.where(F.col("_sum") - F.col(value) < limit).drop("_sum")
 
 
 def forget(records: DataFrame, topics: list[str], n: int, seed: int, topic: str = "topic") -> DataFrame:
@@ -100,33 +129,18 @@ def train_rows(forgotten: DataFrame, retained: DataFrame) -> DataFrame:
 
 
 def paired(forgotten: DataFrame, retained: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Row i of the one with row i mod n of the other; both are samples of bounded size."""
-    n = retained.count()
+    """Row i of the one with row i mod n of the other."""
+    b = numbered(retained.select(F.col(order), F.col("doc_id").alias("retain_id")), [order]).select("retain_id", F.col("_i").alias("j"))
+    n = b.count()
     if not n:
         raise ValueError("nothing to pair with")
-    w = Window.orderBy(order)
-    a = forgotten.select(F.col("doc_id").alias("forget_id"), (F.row_number().over(w) - 1).alias("i")).withColumn("j", F.col("i") % n)
-    b = retained.select(F.col("doc_id").alias("retain_id"), (F.row_number().over(w) - 1).alias("j"))
+    a = numbered(forgotten.select(F.col(order), F.col("doc_id").alias("forget_id")), [order]).select("forget_id", F.col("_i").alias("i"), (F.col("_i") % n).alias("j"))
     return a.join(b, "j").select("i", "forget_id", "retain_id")
 
 
 def round_robin(frame: DataFrame, order: list[str], shards: int) -> DataFrame:
-    """Row i goes to shard i mod ``shards``, in order (a number first). Ordinals come from ranges of
-    that number and their sizes, so no task holds all rows."""
-    spark = frame.sparkSession
-    bounds = frame.approxQuantile(order[0], [k / PARTS for k in range(1, PARTS)], 0.001)  # PARTS numbers
-    part = F.lit(0)
-    for k, bound in enumerate(sorted(set(bounds))):
-        part = F.when(F.col(order[0]) > bound, k + 1).otherwise(part)
-    rows = frame.withColumn("_p", part)
-    sizes = sorted(map(tuple, rows.groupBy("_p").count().collect()))  # one row a part
-    starts, at = [], 0
-    for p, n in sizes:
-        starts.append((p, at))
-        at += n
-    table = spark.createDataFrame(starts or [(0, 0)], "_p int, _start bigint")
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    return rows.join(F.broadcast(table), "_p").withColumn("shard", ((F.col("_start") + F.col("_i")) % shards).cast("int")).drop("_p", "_i", "_start")
+    """Row i goes to shard i mod ``shards``, in order."""
+    return numbered(frame, order).withColumn("shard", (F.col("_i") % shards).cast("int")).drop("_i")
 
 
 def greedy_stratified(rows: DataFrame, order: list[str], strata: list[str], n: int, token_limit: int | None = None) -> DataFrame:

@@ -14,10 +14,11 @@ from tessella.functions import numbers
 
 def paired_cells(gamma: DataFrame, a: str, b: str) -> DataFrame:
     """Cells (topic, target, seed) that both conditions have: a's value on its own target, b's on the
-    same benchmark, and their difference d."""
-    left = gamma.where((F.col("condition") == a) & (F.col("target") == F.col("eval_benchmark"))).select("topic", "target", "seed", F.col("gamma").alias("gamma_a"))
-    right = gamma.where(F.col("condition") == b).select("topic", F.col("eval_benchmark").alias("target"), "seed", F.col("gamma").alias("gamma_b"))
-    return left.join(right, ["topic", "target", "seed"]).withColumn("d", F.col("gamma_a") - F.col("gamma_b"))
+    same benchmark, and their difference d. A cell is one row: the mean of a condition's rows for it."""
+    cell = ["topic", "target", "seed"]
+    left = gamma.where((F.col("condition") == a) & (F.col("target") == F.col("eval_benchmark"))).groupBy(*cell).agg(F.avg("gamma").alias("gamma_a"))
+    right = gamma.where(F.col("condition") == b).groupBy("topic", F.col("eval_benchmark").alias("target"), "seed").agg(F.avg("gamma").alias("gamma_b"))
+    return left.join(right, cell).withColumn("d", F.col("gamma_a") - F.col("gamma_b"))
 
 
 def describe(cells: DataFrame) -> DataFrame:
@@ -89,11 +90,16 @@ def t_greater(t: float, df: int) -> float:
     return tail / 2 if t > 0 else 1 - tail / 2
 
 
+#: Values that the bootstrap draws at once.
+STRIP = 1 << 20
+
+
 def bootstrap_median(d: np.ndarray, rounds: int = 2000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
     d = d[~np.isnan(d)]
     if not len(d):
         return math.nan, math.nan
-    medians = np.median(np.random.default_rng(seed).choice(d, (rounds, len(d))), axis=1)
+    rng, strip = np.random.default_rng(seed), max(1, STRIP // len(d))
+    medians = np.concatenate([np.median(rng.choice(d, (min(strip, rounds - k), len(d))), axis=1) for k in range(0, rounds, strip)])
     return float(np.quantile(medians, alpha / 2)), float(np.quantile(medians, 1 - alpha / 2))
 
 
@@ -139,12 +145,13 @@ def factorial(influence_topic: DataFrame, random_topic: DataFrame, influence_onl
     return out.withColumns({"influence_effect": F.try_divide("sel_a", F.nullif("sel_1", F.lit(0.0))), "topic_effect": F.try_divide("sel_a", F.nullif("sel_c", F.lit(0.0)))})
 
 
-def collateral(gamma: DataFrame, topic_of: DataFrame, primary: list[str], other: list[str], condition: str) -> DataFrame:
-    """For each target at its best topic (target, topic): the effect on the target, the mean magnitude
-    on the other primary benchmarks, and mean and largest magnitude on the held-out ones."""
-    rows = gamma.where(F.col("condition") == condition).join(F.broadcast(topic_of), ["target", "topic"])
+def collateral(gamma: DataFrame, topic_of: DataFrame, primary: list[str], other: list[str]) -> DataFrame:
+    """For each condition, and each target at its best topic (target, topic; a row a target): the effect on
+    the target, the mean magnitude on the other primary benchmarks, and mean and largest magnitude on
+    the held-out ones."""
+    rows = gamma.join(F.broadcast(topic_of), ["target", "topic"])
     b, size = F.col("eval_benchmark"), F.abs("gamma")
-    return rows.groupBy("target", "topic").agg(
+    return rows.groupBy("target", "topic", "condition").agg(
         F.max(F.when(b == F.col("target"), F.col("gamma"))).alias("on_target"), F.avg(F.when(b.isin(primary) & (b != F.col("target")), size)).alias("primary_collateral"),
         F.avg(F.when(b.isin(other), size)).alias("other_collateral"), F.max(F.when(b.isin(other), size)).alias("other_largest"), F.count_distinct(F.when(b.isin(other), b)).alias("n_other"),
     )

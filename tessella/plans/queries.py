@@ -10,7 +10,7 @@ from tessella.functions import numbers, text, web
 from tessella.operators import bins, evidence, integrity, lexical, queryset, records, sampling, scoring, statistics
 from tessella.plans import sqltext as S
 from tessella.plans.catalog import register
-from tessella.plans.tables import gamma, line_scores, manifest, order_bins, scores, table, vector_bins, vectors
+from tessella.plans.tables import gamma, line_scores, manifest, order_bins, query_ids, scores, table, vector_bins, vectors
 from tessella.streaming import events as streams
 
 
@@ -239,9 +239,9 @@ def bin_mean_abs_std(spark, d):
     return bins.score_bins(line_scores(spark, d), order_bins(spark, d)).select("topic", "format", *[F.round(c, 4).alias(c) for c in ("mean_score", "abs_mean_score", "std_score")], "doc_count")
 
 
-@register("bin_match_counts", "SELECT count(*) AS n_docs, count(*) FILTER (WHERE o_orderkey IS NULL) AS n_missed FROM (SELECT DISTINCT l_orderkey FROM lineitem) l LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus != 'P') o ON l_orderkey = o_orderkey")
+@register("bin_match_counts", "SELECT count(*) AS n_docs, count(*) FILTER (WHERE o_orderkey IS NULL) AS n_missed FROM (SELECT DISTINCT l_orderkey FROM lineitem) l LEFT JOIN orders o ON l_orderkey = o_orderkey")
 def bin_match_counts(spark, d):
-    return bins.match_counts(bins.document_means(line_scores(spark, d)), order_bins(spark, d).where("format != 'P'"))
+    return bins.match_counts(bins.document_means(line_scores(spark, d)), order_bins(spark, d))
 
 
 @register("bin_split_correct", f"WITH {S.LINES}, m AS (SELECT doc_id, query_id % 2 = 0 AS is_correct, avg(score) AS score FROM scores GROUP BY 1, 2) SELECT is_correct, topic, format, round(avg(score), 4) AS mean_score, count(*) AS doc_count FROM m JOIN obins USING (doc_id) GROUP BY 1, 2, 3")
@@ -445,7 +445,7 @@ def multi_key_scores(spark, d):
     return total.join(mean, ["doc_id", "query_id"]).select("doc_id", "query_id", r6("score").alias("score"), r6("m").alias("mean_score"))
 
 
-@register("key_space", "SELECT k AS grad_key, count(*) AS n_rows, 32 AS min_width, 32 AS max_width FROM embeddings, (VALUES ('k0'), ('k1')) v(k) WHERE vec_id >= 50 GROUP BY 1")
+@register("key_space", "SELECT k AS grad_key, count(*) AS n_rows, 32 AS min_width, 32 AS max_width FROM embeddings, (VALUES ('k0'), ('k1')) v(k) GROUP BY 1")
 def key_space(spark, d):
     index, queries = vectors(spark, d, keys=True)
     return scoring.key_widths(index).join(scoring.common_keys(index, queries), "grad_key")
@@ -462,10 +462,11 @@ def nested_records(spark, d):
     return scoring.nested(scoring.top_k(scoring.block_scores(*vectors(spark, d), k=5), 5)).select("query_id", F.concat_ws(",", F.col("doc_ids").cast("array<string>")).alias("doc_ids"))
 
 
-@register("wide_scores", f"WITH {S.SCORES} SELECT doc_id, " + ", ".join(f'round(max(score) FILTER (WHERE query_id = {k}), 6) AS "{k}"' for k in range(50)) + " FROM scores GROUP BY 1")
+@register("wide_scores", f"WITH {S.SCORES} SELECT * FROM (PIVOT scores ON query_id USING round(max(score), 6) GROUP BY doc_id)")
 def wide_scores(spark, d):
-    out = scoring.wide(scores(spark, d), list(range(50)))
-    return out.select("doc_id", *[r6(F.col(f"`{k}`")).alias(str(k)) for k in range(50)])
+    ids = query_ids(spark, d)
+    out = scoring.wide(scores(spark, d), ids)
+    return out.select("doc_id", *[r6(F.col(f"`{k}`")).alias(str(k)) for k in ids])
 
 
 # Samples.
@@ -518,16 +519,16 @@ def null_bin_split(spark, d):
     return sampling.null_split(table(spark, d, "documents").select("doc_id"), 30, 50, 5)
 
 
-@register("train_rows", "SELECT doc_id, 'forget' AS split FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, 'retain' FROM documents WHERE lang = 'de'")
+@register("train_rows", "SELECT doc_id, CASE WHEN lang = 'fr' THEN 'forget' ELSE 'retain' END AS split FROM documents")
 def train_rows(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return sampling.train_rows(docs.where("lang = 'fr'"), docs.where("lang = 'de'")).select("doc_id", "split")
+    return sampling.train_rows(docs.where("lang = 'fr'"), docs.where("lang <=> 'fr' = false")).select("doc_id", "split")
 
 
-@register("modular_pairing", "WITH f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE lang = 'fr'), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS j, count(*) OVER () AS n FROM documents WHERE lang = 'es') SELECT i, f.doc_id AS forget_id, r.doc_id AS retain_id FROM f JOIN r ON i % n = j")
+@register("modular_pairing", "WITH f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE lang = 'fr'), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS j, count(*) OVER () AS n FROM documents WHERE lang IS DISTINCT FROM 'fr') SELECT i, f.doc_id AS forget_id, r.doc_id AS retain_id FROM f JOIN r ON i % n = j")
 def modular_pairing(spark, d):
     docs = table(spark, d, "documents")
-    return sampling.paired(docs.where("lang = 'fr'"), docs.where("lang = 'es'"))
+    return sampling.paired(docs.where("lang = 'fr'"), docs.where("lang <=> 'fr' = false"))
 
 
 @register("round_robin_shards", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 7)::INT AS shard FROM documents")
@@ -554,12 +555,12 @@ def greedy_stratified(spark, d):
 # Statistics.
 
 
-_PAIRED = f"{S.GAMMA}, a AS (SELECT topic, target, seed, gamma, event_id FROM gamma WHERE condition = 'expA' AND target = eval_benchmark), e AS (SELECT topic, eval_benchmark AS target, seed, gamma, event_id FROM gamma WHERE condition = 'exp1'), cells AS (SELECT topic, target, seed, a.gamma - e.gamma AS d FROM a JOIN e USING (topic, target, seed))"
+_PAIRED = f"{S.GAMMA}, a AS (SELECT topic, target, seed, gamma, event_id FROM gamma WHERE condition = 'expA' AND target = eval_benchmark), e AS (SELECT topic, eval_benchmark AS target, seed, gamma, event_id FROM gamma WHERE condition = 'exp1'), cells AS (SELECT topic, target, seed, a.gamma - e.gamma AS d FROM (SELECT topic, target, seed, avg(gamma) AS gamma FROM a GROUP BY 1, 2, 3) a JOIN (SELECT topic, target, seed, avg(gamma) AS gamma FROM e GROUP BY 1, 2, 3) e USING (topic, target, seed))"
 
 
-@register("paired_diff", f"WITH {_PAIRED} SELECT topic, target, seed, count(*) AS n, round(avg(d), 6) AS mean_d FROM cells GROUP BY 1, 2, 3")
+@register("paired_diff", f"WITH {_PAIRED} SELECT topic, target, seed, round(d, 6) AS d FROM cells")
 def paired_diff(spark, d):
-    return statistics.paired_cells(gamma(spark, d), "expA", "exp1").groupBy("topic", "target", "seed").agg(F.count("*").alias("n"), r6(F.avg("d")).alias("mean_d"))
+    return statistics.paired_cells(gamma(spark, d), "expA", "exp1").select("topic", "target", "seed", r6("d").alias("d"))
 
 
 @register("cohens_dz", f"WITH {_PAIRED} SELECT target, count(*) AS n_cells, count(DISTINCT seed) AS n_seeds, count(DISTINCT topic) AS n_topics, count(*) FILTER (WHERE d < 0) AS n_neg, count(*) FILTER (WHERE d > 0) AS n_pos, count(*) FILTER (WHERE d = 0) AS n_zero, round(median(d), 6) AS median_diff, round(avg(d) / nullif(stddev_samp(d), 0), 6) AS cohens_dz FROM cells GROUP BY 1")
@@ -573,6 +574,18 @@ def paired_significance(spark, d):
     return statistics.analyze(statistics.paired_cells(gamma(spark, d), "expA", "exp1"))
 
 
+@register(
+    "paired_tests",
+    f"""WITH {_PAIRED}, nz AS (SELECT target, d, rank() OVER w + (count(*) OVER (PARTITION BY target, abs(d)) - 1) / 2.0 AS r FROM cells WHERE d != 0 WINDOW w AS (PARTITION BY target ORDER BY abs(d))),
+    w AS (SELECT target, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS w FROM nz GROUP BY 1), m AS (SELECT target, topic, avg(d) AS d FROM cells GROUP BY 1, 2)
+    SELECT target, 'wilcoxon_pooled' AS test, count(*) AS n_cells, round(median(d), 6) AS median_diff, round(max(w), 6) AS statistic FROM cells JOIN w USING (target) GROUP BY 1
+    UNION ALL SELECT target, 't_topic_means', count(*), round(median(d), 6), round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) FROM m GROUP BY 1""",
+)
+def paired_tests(spark, d):
+    out = statistics.analyze(statistics.paired_cells(gamma(spark, d), "expA", "exp1"))
+    return out.select("target", "test", "n_cells", r6("median_diff").alias("median_diff"), r6("statistic").alias("statistic"))
+
+
 @register("bh_adjust", "WITH p AS (SELECT c_custkey, c_nationkey, (c_custkey * 7919 % 1000 + 1) / 1001.0::DOUBLE AS p FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY p, c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM p) SELECT c_custkey, round(least(1.0::DOUBLE, min(p * n / r) OVER (PARTITION BY c_nationkey ORDER BY r DESC)), 6) AS p_bh FROM r")
 def bh_adjust(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", ((F.col("c_custkey") * 7919 % 1000 + 1) / F.lit(1001.0)).alias("p"))
@@ -623,15 +636,14 @@ def conversation_prompts(spark, d):
     return queryset.conversation_prompts(table(spark, d, "conversations")).select("conv_id", "n_turns", F.md5("prompt").alias("prompt_md5"))
 
 
-@register("roster_coverage", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS state FROM (SELECT * FROM documents WHERE lang = 'en') d FULL JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
+@register("roster_coverage", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS state FROM documents d FULL JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL")
 def roster_coverage(spark, d):
-    return queryset.coverage(table(spark, d, "documents").where("lang = 'en'"), table(spark, d, "labels"), "doc_id").select("doc_id", "state")
+    return queryset.coverage(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id", "state")
 
 
-@register("roster_diff", "(SELECT source, 'left' AS side FROM (SELECT source FROM documents WHERE lang = 'en' EXCEPT ALL SELECT source FROM documents WHERE lang = 'fr')) UNION ALL (SELECT source, 'right' FROM (SELECT source FROM documents WHERE lang = 'fr' EXCEPT ALL SELECT source FROM documents WHERE lang = 'en'))")
+@register("roster_diff", "(SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)) UNION ALL (SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents))")
 def roster_diff(spark, d):
-    docs = table(spark, d, "documents")
-    return queryset.roster_difference(docs.where("lang = 'en'").select("source"), docs.where("lang = 'fr'").select("source"))
+    return queryset.roster_difference(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"))
 
 
 @register("duplicate_keys", "SELECT text_md5, count(*) AS n FROM (SELECT md5(text) AS text_md5 FROM documents) GROUP BY 1 HAVING count(*) > 1")
@@ -704,7 +716,12 @@ def last_wins(spark, d):
     return integrity.last_wins(table(spark, d, "documents").select(F.md5("text").alias("text_md5"), "doc_id"), "text_md5", "doc_id")
 
 
-@register("ordered_digest")
+@register(
+    "ordered_digest",
+    """WITH v AS (SELECT sha256(strlen(text) || ':' || text) AS h, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+    a AS (SELECT i // 4096 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, count(*) AS n FROM v GROUP BY 1), b AS (SELECT i // 4096 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, sum(n) AS n FROM a GROUP BY 1)
+    SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY i)) AS sha256 FROM b""",
+)
 def ordered_digest(spark, d):
     return integrity.ordered_digest(table(spark, d, "documents"), ["doc_id"], "text")
 
@@ -845,19 +862,20 @@ def option_blocks(spark, d):
     return table(spark, d, "part").select("p_partkey", queryset.options_valid(prompt, choices).alias("valid"))
 
 
-@register("factorial_selectivity", f"WITH {S.GAMMA}, s AS (SELECT event_type, target, coalesce(max(abs(gamma)) FILTER (WHERE eval_benchmark = target), 0) / avg(abs(gamma)) FILTER (WHERE eval_benchmark != target) AS x FROM gamma GROUP BY 1, 2) SELECT a.target, round(a.x, 6) AS sel_a, round(b.x, 6) AS sel_1, round(a.x / b.x, 6) AS influence_effect FROM s a JOIN s b USING (target) WHERE a.event_type = 'click' AND b.event_type = 'view'")
+@register("factorial_selectivity", f"WITH {S.GAMMA}, s AS (SELECT event_type, target, coalesce(max(abs(gamma)) FILTER (WHERE eval_benchmark = target), 0) / avg(abs(gamma)) FILTER (WHERE eval_benchmark != target) AS x FROM gamma GROUP BY 1, 2) SELECT target, round(max(x) FILTER (WHERE event_type = arms[1]), 6) AS sel_a, round(max(x) FILTER (WHERE event_type = arms[2]), 6) AS sel_1, round(max(x) FILTER (WHERE event_type = arms[3]), 6) AS sel_c, round(max(x) FILTER (WHERE event_type = arms[4]), 6) AS sel_3, round(sel_a_ / sel_1_, 6) AS influence_effect, round(sel_a_ / sel_c_, 6) AS topic_effect FROM (SELECT *, max(x) FILTER (WHERE event_type = arms[1]) OVER (PARTITION BY target) AS sel_a_, max(x) FILTER (WHERE event_type = arms[2]) OVER (PARTITION BY target) AS sel_1_, max(x) FILTER (WHERE event_type = arms[3]) OVER (PARTITION BY target) AS sel_c_ FROM s, (SELECT list(DISTINCT event_type ORDER BY event_type) AS arms FROM gamma)) GROUP BY target, sel_a_, sel_1_, sel_c_")
 def factorial_selectivity(spark, d):
     g = gamma(spark, d)
-    part = {e: statistics.selectivity(g.where(F.col("event_type") == e), []) for e in ("click", "view")}
-    out = statistics.factorial(part["click"], part["view"], part["view"], part["click"])
-    return out.select("target", r6("sel_a").alias("sel_a"), r6("sel_1").alias("sel_1"), r6("influence_effect").alias("influence_effect"))
+    arms = [r[0] for r in g.select("event_type").distinct().orderBy("event_type").collect()]  # a row an arm
+    out = statistics.factorial(*[statistics.selectivity(g.where(F.col("event_type") == e), []) for e in arms[:4]])
+    return out.select("target", *[r6(c).alias(c) for c in ("sel_a", "sel_1", "sel_c", "sel_3", "influence_effect", "topic_effect")])
 
 
-@register("collateral", f"WITH {S.GAMMA} SELECT target, topic, round(max(gamma) FILTER (WHERE eval_benchmark = target), 6) AS on_target, round(avg(abs(gamma)) FILTER (WHERE eval_benchmark IN ('b0', 'b1') AND eval_benchmark != target), 6) AS primary_collateral, round(avg(abs(gamma)) FILTER (WHERE eval_benchmark IN ('b2', 'b3')), 6) AS other_collateral FROM gamma WHERE condition = 'exp1' AND topic = CASE target WHEN 'b0' THEN 't3' WHEN 'b1' THEN 't5' END GROUP BY 1, 2")
+@register("collateral", f"WITH {S.GAMMA}, best AS (SELECT target, topic FROM (SELECT target, topic, avg(gamma) AS g FROM gamma WHERE eval_benchmark = target GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY target ORDER BY g DESC, topic) = 1) SELECT target, topic, condition, round(max(gamma) FILTER (WHERE eval_benchmark = target), 6) AS on_target, round(avg(abs(gamma)) FILTER (WHERE eval_benchmark IN ('b0', 'b1') AND eval_benchmark != target), 6) AS primary_collateral, round(avg(abs(gamma)) FILTER (WHERE eval_benchmark IN ('b2', 'b3')), 6) AS other_collateral FROM gamma JOIN best USING (target, topic) GROUP BY 1, 2, 3")
 def collateral(spark, d):
-    best = spark.createDataFrame([("b0", "t3"), ("b1", "t5")], "target string, topic string")
-    out = statistics.collateral(gamma(spark, d), best, ["b0", "b1"], ["b2", "b3"], "exp1")
-    return out.select("target", "topic", *[r6(c).alias(c) for c in ("on_target", "primary_collateral", "other_collateral")])
+    g = gamma(spark, d)
+    grid = g.where("eval_benchmark = target").groupBy(F.col("target").alias("benchmark"), "topic").agg(F.avg("gamma").alias("zscore")).withColumn("format", F.lit(""))
+    out = statistics.collateral(g, statistics.best_topic(grid).select(F.col("benchmark").alias("target"), "topic"), ["b0", "b1"], ["b2", "b3"])
+    return out.select("target", "topic", "condition", *[r6(c).alias(c) for c in ("on_target", "primary_collateral", "other_collateral")])
 
 
 @register("bin_draws")

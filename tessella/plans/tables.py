@@ -28,12 +28,17 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str, keys: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(index, queries): vectors from 50 on, and the first 50; with ``keys`` cut into two modules."""
+    """(index, queries): all vectors, and as queries those whose id 50 divides; with ``keys`` cut into
+    two modules."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     if keys:
         halves = F.explode(F.map_from_arrays(F.array(F.lit("k0"), F.lit("k1")), F.array(F.slice("vec", 1, 32), F.slice("vec", 33, F.greatest(F.size("vec") - 32, F.lit(0))))))
         rows = rows.select("id", halves.alias("grad_key", "vec"))
-    return rows.where("id >= 50"), rows.where("id < 50")
+    return rows, rows.where("id % 50 = 0")
+
+
+def query_ids(spark: SparkSession, d: str) -> list[int]:
+    return [r[0] for r in vectors(spark, d)[1].select("id").orderBy("id").collect()]
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +59,7 @@ def order_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gamma(spark: SparkSession, d: str) -> DataFrame:
-    """Effects by condition, topic, seed, target and benchmark, from events."""
+    """Effects by condition, topic, seed, target and benchmark, from events; several rows a cell."""
     return table(spark, d, "events").select(
         F.when(F.col("event_type") == "click", "expA").otherwise("exp1").alias("condition"), "event_type", F.concat(F.lit("t"), (F.col("user_id") % 24).cast("string")).alias("topic"),
         (F.col("event_id") % 3).cast("int").alias("seed"), F.concat(F.lit("b"), (F.col("event_id") % 4).cast("string")).alias("eval_benchmark"),

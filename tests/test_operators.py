@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella import taxonomy
 from tessella.functions import numbers, text, web
-from tessella.operators import bins, integrity, lexical, queryset, records, reports, sampling, scoring, statistics
+from tessella.operators import bins, evidence, integrity, lexical, queryset, records, reports, sampling, scoring, statistics
 
 
 def one(spark, **columns):
@@ -68,7 +68,7 @@ def test_urls_dates_paths(spark):
     assert one(spark, a=web.year(F.lit("made 1899, 2019-2020")), b=web.year(F.lit("12019")), c=web.is_utc_timestamp(F.lit("2024-01-02T03:04:05Z")), d=web.is_utc_timestamp(F.lit("2024-01-02T03:04:05+00:00"))) == (2019, None, True, False)
     assert one(spark, a=web.source_family(F.lit("data/finemath-3/x")), b=web.source_family(F.lit("data/wiki/x")), c=web.source_family(F.lit("x")), d=web.record_id(F.lit('{"id": "a b", "text": ""}'))) == ("finemath", "wiki", "unknown", "a b")
     scores = F.expr("map('fr', 0.2D, 'en', 0.7D, 'de', 0.7D)")
-    assert one(spark, a=web.language(F.lit(None).cast("string"), scores), b=web.language(F.lit("xx"), scores), c=web.language(F.lit(None).cast("string"), F.expr("cast(map() as map<string,double>)"))) == ("de", "xx", None)
+    assert one(spark, a=web.language(F.lit(None).cast("string"), scores), b=web.language(F.lit("xx"), scores), c=web.language(F.lit(None).cast("string"), F.expr("cast(map() as map<string,double>)"))) == ("en", "xx", None)
     ids = spark.createDataFrame([("a",), ("b",)], "id string").select(web.blake_bucket(10)("id")).collect()
     assert all(0 <= r[0] < 10 for r in ids)
 
@@ -319,3 +319,47 @@ def test_small_reports(spark):
     with pytest.raises(ValueError, match="no rows"):
         sampling.manifest_slice(grid.withColumn("label", F.col("format")), ["topic"], labels=["f", "zz"])
     assert sampling.synthetic_manifest(spark, 50).where("token_count < 1").count() == 0
+
+
+def test_numbers_and_sums_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "RANGE_ROWS", 40)
+    rows = [(k * 37 % 1009, k % 11) for k in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, tokens bigint")
+    want, total = [], 0
+    for i, (d, n) in enumerate(sorted(rows)):
+        total += n
+        want.append((d, n, i, total))
+    assert sorted(map(tuple, sampling.numbered(frame, ["doc_id"], "tokens").collect())) == want
+    kept = sampling.budget(frame, ["doc_id"], "tokens", 500)
+    assert sorted(map(tuple, kept.collect())) == [(d, n) for d, n, _, s in want if s - n < 500]
+    assert sampling.budget(frame.limit(0), ["doc_id"], "tokens", 500).count() == 0
+    pairs = sampling.paired(frame.where("doc_id % 2 = 0"), frame.where("doc_id % 2 = 1"))
+    even, odd = ([d for d, *_ in want if d % 2 == k] for k in (0, 1))
+    assert sorted(map(tuple, pairs.collect())) == [(i, d, odd[i % len(odd)]) for i, d in enumerate(even)]
+
+
+def test_roster_coverage_names_missing_and_extra_rows(spark):
+    wanted, there = (spark.createDataFrame([(k,) for k in ks], "doc_id bigint") for ks in ((1, 2, 3), (2, 3, 4)))
+    assert sorted(map(tuple, queryset.coverage(wanted, there, "doc_id").select("doc_id", "state").collect())) == [(1, "missing"), (4, "extra")]
+    assert bins.match_counts(wanted, there.selectExpr("doc_id", "'a' as topic", "'b' as format")).first().asDict() == {"n_docs": 3, "n_missed": 1}
+
+
+def test_bootstrap_in_strips(monkeypatch):
+    d = np.random.default_rng(0).normal(1, 1, 400)
+    whole = statistics.bootstrap_median(d)
+    monkeypatch.setattr(statistics, "STRIP", 1000)
+    low, high = statistics.bootstrap_median(d)
+    assert low < np.median(d) < high and abs(low - whole[0]) < 0.05 and abs(high - whole[1]) < 0.05
+
+
+def test_rendering_with_a_tokenizer(spark):
+    tokenizers, paths = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = paths.path("byte_bpe_50k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    rows = [("a", "Q: été?", " Yes, it is", "completion"), ("b", "just this", None, "prompt_next_token"), ("c", "x", " y z", "joint_sequence")]
+    found = evidence.rendered(spark.createDataFrame(rows, "query_id string, prompt string, target string, objective string"), path)
+    for r in found.collect():
+        e = plain.encode(r["prompt"] + (r["target"] or ""), add_special_tokens=False)
+        assert [(x["id"], x["start"], x["end"]) for x in r["offsets"]] == [(i, *o) for i, o in zip(e.ids, e.offsets)]
+        scored = {"a": [b > len(r["prompt"]) for _, b in e.offsets], "b": [False] * (len(e.ids) - 1) + [True], "c": [True] * len(e.ids)}[r["query_id"]]
+        assert r["scored"] == scored
