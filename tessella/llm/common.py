@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import threading
 import uuid
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessella.shared import shared_dir
 from tessella.ship import ship
 
 #: Rows of a key from which `salted_join` splits it, and such keys at most.
@@ -33,21 +33,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, TEXTS_PER_BATCH)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where neither the session nor the context names one, one is set: a folder in the warehouse,
-    or, where driver and executor are one process (tests), a temporary folder.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        one = context.master.split("[")[0] == "local"
-        found = tempfile.mkdtemp(prefix="tessella-") if one else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessella-shared"
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without extra columns that would clash with an operator's own (in any case)."""
     return df.select([f"`{c}`" for c in df.columns if c.lower() not in names])

@@ -118,6 +118,17 @@ def sequence_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+class Rolling:
+    """Karp-Rabin hashes of runs of values (hashes of tokens, say), any run at once from running sums."""
+
+    def __init__(self, h: np.ndarray):
+        self.sums = np.append(np.uint64(0), np.cumsum(h * _power(_BASE, len(h))))
+        self.back = _power(_INVERSE, len(h) + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.back[start])
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes): of ``size`` words, or of all words of a shorter row."""
     for lo, hi, data, offsets in chunks(column):

@@ -460,11 +460,41 @@ def plain_tiling(item, text, least):
 
 def test_tiling_against_plain_version():
     rng = random.Random(4)
-    for _ in range(150):
-        item, text = [rng.choices("abc", k=rng.randrange(3, 25)) for _ in range(2)]
-        seeds = [(p, t) for p in range(len(item) - 2) for t in range(len(text) - 2) if item[p : p + 3] == text[t : t + 3]]
-        i, j = (np.array([s[k] for s in seeds], int) for k in (0, 1))
-        assert decontamination.tile(i, j, 3, len(item)) == plain_tiling(item, text, 3)
+    for k in range(300):
+        item, *texts = [rng.choices("abc" if k % 2 else "ab", k=rng.randrange(3, 25)) for _ in range(4)]
+        held = decontamination.Items([7], [" ".join(item)], 3)
+        found = {row: share for row, _, share in held.matches(pa.array([" ".join(t) for t in texts]), 0.0)}
+        assert [round(found.get(row, 0) * len(item)) for row in range(3)] == [plain_tiling(item, t, 3) for t in texts]
+
+
+def test_flag_against_plain_version(spark):
+    rng = random.Random(8)
+    items = [say(700 + k, rng.randrange(5, 40)) for k in range(12)] + ["the", "one two"]
+    rows = []
+    for k in range(80):
+        parts = [say(k, rng.randrange(30)).split()]
+        for _ in range(rng.randrange(3)):
+            w = rng.choice(items).split()
+            for _ in range(rng.randrange(1, 4)):
+                a = rng.randrange(len(w))
+                parts.append(w[a : a + rng.randrange(1, 30)])
+        rng.shuffle(parts)
+        rows.append((k, " ".join(x for p in parts for x in p)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    words = lambda t: re.findall(r"[0-9a-z]+", t.translate(LOWER))
+    got = {r["doc_id"]: r for r in decontamination.flag(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    for d, t in rows:
+        share = {k: plain_tiling(words(x), words(t), 5) / len(words(x)) for k, x in enumerate(items) if len(words(x)) >= 5}
+        hit = {k: x for k, x in share.items() if x >= decontamination.COVERAGE}
+        assert got[d]["items"] == sorted(hit) and got[d]["coverage"] == pytest.approx(max(hit.values(), default=0))
+    assert sum(bool(r["items"]) for r in got.values()) > 10
+
+
+def test_tiling_of_repeated_words_is_quick():
+    held = decontamination.Items([1, 2], ["one " * 100, "one two " * 50])
+    began = time.process_time()
+    found = sorted(held.matches(pa.array(["one " * 250_000, "two one " * 60_000, "one"])))
+    assert found == [(0, 0, 1.0), (1, 1, 1.0)] and time.process_time() - began < 4
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="with-sidebar"><header><a href=x>Home</a> Site</header>
