@@ -1,18 +1,19 @@
 """Substring dedup by sliding sentence spans.
 
 A text is split into sentences: after ``.``, ``!``, ``?`` or an ellipsis (with closing quotes or
-brackets) before white space, at line ends, and, because passages are also pasted into the middle
-of a sentence, before a capitalised word that follows a lower-case one. Sentences are cut at clauses, and what then is
-longer than `PIECE` words is cut before words that the words around them choose, so that texts which
-share a passage share the cuts inside it, marks or none. Any 50 consecutive words of a text hold a span of
-their own: cuts agree from `WINDOW` words inside a passage on. From every sentence (or piece) a span
-runs over as many following sentences as it takes to reach ``min_words`` words, at least two. Spans
+brackets) before white space, unless an abbreviation or an initial ends there, after ``。``, ``！`` or ``？``, and at line
+ends. Sentences are cut at clauses, and what then is longer than `PIECE` words is cut before words that
+the words around them choose, so that texts which share a passage share the cuts inside it, marks or
+none, also where it is pasted into the middle of a sentence. Words stand between white space; in scripts
+that write none (Han, kana, Thai, Lao, Khmer, Burmese) each character is one. From every sentence (or
+piece) a span runs over as many following sentences as it takes to reach ``min_words`` words, at least
+two. A passage of `MIN_WORDS` + 2 `PIECE` words (50) holds a span of its own. Spans
 are compared by a 64-bit hash of their lower-cased words. Of every span that occurs more than once
 in the table, the occurrence in the smallest (doc_id, position) stays; sentences that any other
 occurrence covers are removed with the white space after them.
 
 The hash of each span is joined globally: one aggregate with map-side combination finds the first
-document of each repeated span, one join (hot spans salted) marks the other occurrences, and only
+document of each repeated span, one join (hot spans broadcast) marks the other occurrences, and only
 the marked positions meet the texts again.
 """
 
@@ -30,18 +31,31 @@ from tessella.llm import text as T
 from tessella.llm.common import materialize, release, schema_with, scratch, trimmed, without
 
 #: Words that a span has at least; with fewer, everyday sentences would meet by chance.
-MIN_WORDS = 20
+MIN_WORDS = 26
 #: Words that a piece has at most without a cut inside it.
-PIECE = 15
+PIECE = 12
 #: Of as many neighbouring words in a longer piece, the one of least hash begins a new piece.
 WINDOW = 8
-_CLAUSE = re.compile(r"[,;:]\s+")
-_SENTENCE = re.compile(r"""(?<=[.!?…])["'”’)\]]*\s+|\n+|(?<=[^\W\d_A-ZÀ-ÖØ-Þ])[,;:]?[ \t]+(?=[A-ZÀ-ÖØ-Þ])""")
+_CLAUSE = re.compile(r"[,;:]\s+|[，、；：]\s*")
+_SENTENCE = re.compile(r"""(?<=[.!?…])["'”’)\]]*\s+|\n+|(?<=[。！？])["'”’）」』]*\s*""")
+#: Words before a full stop that ends no sentence; so does a single letter.
+_ABBREVIATIONS = set("bzw ca cf ch co dr ed eg etc fig hr inc ing jr ltd m mme mr mrs ms no nr p pp prof sr sra st usw vgl vol vs z".split())
+_BEFORE = re.compile(r"(\w+)\.$")
+#: Characters of scripts without spaces between words.
+_SPACELESS = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_SPACELESS = re.compile(f"[{_SPACELESS}]")
+_WORD = re.compile(f"[{_SPACELESS}]|[^\x20\x09-\x0d{_SPACELESS}]+")
+
+
+def _ends(text: str, at: int) -> bool:
+    """Whether a sentence ends before the white space at ``at``."""
+    m = _BEFORE.search(text, max(0, at - 8), at)
+    return not m or len(m[1]) > 1 and m[1].lower() not in _ABBREVIATIONS or m.start() == max(0, at - 8) > 0
 
 
 def _marks(text: str) -> list[int]:
     """Start of each sentence and clause, in characters."""
-    starts, out = [0, *(m.end() for m in _SENTENCE.finditer(text)), len(text)], []
+    starts, out = [0, *(m.end() for m in _SENTENCE.finditer(text) if "\n" in m[0] or _ends(text, m.start())), len(text)], []
     for a, b in zip(starts, starts[1:]):
         if a < b or not out:
             out.append(a)
@@ -49,14 +63,22 @@ def _marks(text: str) -> list[int]:
     return out
 
 
+def _words(text: str, data: np.ndarray, chars: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word, in bytes."""
+    if chars is None or not _HAS_SPACELESS.search(text):
+        return T.words(data, np.array([0, len(data)]))[:2]
+    spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+    return tuple(np.append(chars, len(data))[spans].T)
+
+
 def _pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start of each piece in characters; the word that each begins with, and how many words there
     are; a hash of each word."""
     raw = text.encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
-    begin, end, _ = T.words(data, np.array([0, len(data)]))
-    at, n = np.array(_marks(text)), len(begin)
     chars = np.flatnonzero((data & 0xC0) != 0x80) if len(raw) != len(text) else None  # bytes that begin a character
+    begin, end = _words(text, data, chars)
+    at, n = np.array(_marks(text)), len(begin)
     first = np.append(np.searchsorted(begin, at if chars is None else np.append(chars, len(data))[at]), n)
     h = T.span_hashes(data, begin, end)
     size = np.diff(first)
@@ -95,9 +117,8 @@ def _spans(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     ok, stop = both // (m + 1), both % (m + 1)
     if not len(ok):
         return none
-    run = np.append(np.uint64(0), np.cumsum(h * T._power(T._BASE, len(h))))
     a, b = first[ok], first[stop]
-    hashed = T.mix((run[b] - run[a]) * T._power(T._INVERSE, len(h) + 1)[a] + (b - a).astype(np.uint64))
+    hashed = T.mix(T.Rolling(h).of(a, b) + (b - a).astype(np.uint64))
     return ok, stop, hashed.view(np.int64)
 
 
@@ -150,8 +171,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Every row stays; a text that others cover wholly becomes empty. Null texts stay null. Rows
     without a doc_id are left alone and cover nothing. Rows that repeat a doc_id count as one
-    document at the same positions, so exact repeats of a row stay alike. An empty table gives no
-    rows. An extra column named _spans or n_removed gives way.
+    document at the same positions, so exact repeats of a row stay alike. A span that a text repeats
+    goes from its later places too. An empty table gives no rows. An extra column named _spans or
+    n_removed gives way.
     """
     docs = without(docs, "_spans", "n_removed")
     spans = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(trimmed(_span_rows(min_words)), "doc_id bigint, h bigint, i int, j int, again boolean")
