@@ -23,8 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete what was written to ``path`` when the application ends: results are read until then."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table there: computed once, for several readers, and whole if an executor goes."""
     path = f"{shared_dir(df.sparkSession)}/tessella-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
