@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessella.shared import shared_dir
+from tessella.shared import delete_at_end, shared_dir
 from tessella.ship import ship
 
 #: Rows of a key from which `salted_join` splits it, and such keys at most.
@@ -64,6 +64,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(spark, path)
     if made := getattr(_open, "made", None):
         made[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)

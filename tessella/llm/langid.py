@@ -144,7 +144,7 @@ class Model:
 
 def fit(labelled: DataFrame, fit_texts: int = FIT_TEXTS) -> Model:
     """A model of the texts and languages in ``labelled`` (doc_id, text, lang); rows with a null text
-    or language don't count."""
+    or language don't count, rows without a doc_id do."""
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string"))
     sizes = dict(sorted(map(tuple, labelled.groupBy("lang").count().collect())))  # one row a language
     langs = list(sizes)

@@ -167,7 +167,8 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame, dict[str, int]]:
     """The model of the texts in ``train``, the count of each of its words (key, n; a hash for the
-    word), and how many tokens, distinct tokens and texts it has. Null texts are empty."""
+    word), and how many tokens, distinct tokens and texts it has. Null texts are empty. Every row is
+    learned from, with a doc_id or without. A byte 0 in a text counts as the end symbol does."""
     counts = train.select("text").mapInArrow(trimmed(_count_rows), "kind byte, key bigint, n bigint")
     counts = materialize(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counts.where("kind = 1").select("key", "n")

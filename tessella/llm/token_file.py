@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import tokens
-from tessella.llm.common import shared_dir, trimmed
+from tessella.llm.common import trimmed
+from tessella.shared import delete_at_end, shared_dir
 
 #: Ids in a block.
 BLOCK = 1 << 16
@@ -172,4 +173,5 @@ def round_trip(docs: DataFrame, end_id: int = 2) -> DataFrame:
     """Write all texts to a folder in the shared place and return the digest read back from it."""
     path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write(docs, path, end_id)
+    delete_at_end(docs.sparkSession, path)
     return digest(docs.sparkSession, path)

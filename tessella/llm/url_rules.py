@@ -3,9 +3,11 @@
 Everything here is DataFrame and SQL functions and Spark's own FP-growth: no Python runs on a row.
 
 A url's tokens are its host's labels, the words of its path and the keys of its query, each marked
-with where it stands. FP-growth finds the token combinations that are frequent among labelled urls
-together with the label "bad"; rules {tokens} -> bad are kept from a least support, confidence and
-lift on, and a rule that a shorter one already covers is dropped. To match, each rule is indexed by
+with where it stands. Tokens that stand in the same labelled urls are one item, so that a long path that
+urls share doesn't multiply combinations, and tokens of too few urls are left out. FP-growth finds
+the combinations that are frequent among labelled urls together with the label "bad"; rules {tokens} -> bad,
+of any length, are kept from a least support, confidence and lift on, and a rule that a shorter one
+already covers is dropped. To match, each rule is indexed by
 its rarest token: urls meet only rules whose rarest token they have, and then the whole combination
 is compared.
 """
@@ -22,8 +24,6 @@ from tessella.llm.common import materialize, salted_join, without
 SUPPORT, CONFIDENCE, LIFT = 0.002, 0.7, 1.5
 #: And how many urls that is at least.
 URLS = 20
-#: Tokens that a combination has at most.
-LONGEST = 3
 #: Mined rules that are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
 BAD = "=bad"
@@ -66,17 +66,25 @@ def listed(url_host: Column, url_path: Column, rules: list[tuple[str, str]]) ->
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """Rules (tokens, rarest, confidence, support) from ``labelled`` (url, bad boolean); rows with a
-    null url or label don't count. Without labels there are no rules."""
-    baskets = labelled.where("url is not null and bad is not null").select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.expr("cast(array() as array<string>)"))).alias("items"))
-    baskets = materialize(baskets)
+    null url or label don't count. Without labels there are no rules. Of tokens that stand in the same
+    urls a rule names the smallest."""
+    rows = labelled.where("url is not null and bad is not null").select(tokens(F.col("url")).alias("have"), "bad")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
     schema = "tokens array<string>, rarest string, confidence double, support double"
-    many = baskets.count()
+    many = rows.count()
     if many < URLS:
         return labelled.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=max(support, URLS / many), minConfidence=confidence, numPartitions=16).fit(baskets)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift) & (F.size("antecedent") <= LONGEST))
+    least = max(support, URLS / many)
+    # Where a token stands, as a count and two sums of hashes of the rows.
+    stands = [F.count("*").alias("n"), *[F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]]
+    places = rows.select("row", F.explode("have").alias("t")).groupBy("t").agg(*stands).where(F.col("n") >= least * many)
+    single = places.groupBy("n", "h0", "h1").agg(F.min("t").alias("t")).select("t", F.col("n").alias("freq"))  # 1 / least of a url's tokens at most
+    held = rows.select("row", "bad", F.explode_outer("have").alias("t")).join(single.select("t", F.lit(True).alias("kept")), "t", "left")
+    items = F.concat(F.collect_set(F.when(F.col("kept"), F.col("t"))), F.when(F.first("bad"), F.array(F.lit(BAD))).otherwise(F.expr("cast(array() as array<string>)")))
+    baskets = materialize(held.groupBy("row").agg(items.alias("items")).select("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence, numPartitions=labelled.sparkSession.sparkContext.defaultParallelism).fit(baskets)
+    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift))
     found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("t"), "freq")
     named = found.withColumn("t", F.explode("tokens")).join(single, "t").groupBy("tokens", "confidence", "support").agg(F.min_by("t", F.struct("freq", "t")).alias("rarest"))
     named = materialize(named.select("tokens", "rarest", "confidence", "support"))
     covered = named.alias("x").join(named.alias("y"), F.expr("array_contains(x.tokens, y.rarest) and size(y.tokens) < size(x.tokens) and size(array_except(y.tokens, x.tokens)) = 0"), "left_anti")
