@@ -19,8 +19,9 @@ LEAST_SCORE = 0.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents; those without a letter, or that look like no language
-    learned, go. Without any labelled document all are kept."""
+    """Learns from the labelled documents; those without a letter (null and empty texts among them), or
+    that look like no language learned, go. Without any labelled document all are kept. Rows that
+    repeat are judged alike; columns other than those of documents are dropped, whatever their names."""
     prepare(spark)
     model = langid.fit(docs)
     if not model.langs:
@@ -39,21 +40,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentences of repeated spans go from all but the first document; n_chars follows the text."""
+    """Sentences of repeated spans go from all but the document with the smallest doc_id (ties: the
+    earlier place in it); n_chars follows the text. Null texts stay null with n_chars 0, rows without a
+    doc_id stay as they are, rows that repeat a doc_id are cut alike. Every row stays, also with an
+    empty text. An n_removed or _spans column of the input gives way."""
     prepare(spark)
     found = span_dedup.remove_repeats(docs)
     return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go."""
+    """Documents that hold passages of the benchmark go; null and empty texts hold none, so they stay,
+    as all do where the benchmark is empty. Rows that repeat go or stay together. Columns of the input
+    named items or coverage give way."""
     prepare(spark)
     found = decontamination.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.size("items") == 0).select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, in sequences of 1024 ids."""
+    """Pieces of the documents that are left, in sequences of 1024 ids. Null and empty texts are their
+    end id; rows that repeat a doc_id, or have none, are packed each on its own; texts of one size are
+    ranked by doc_id. No documents, no rows."""
     prepare(spark)
     return packing.pack(docs, capacity=1024, end_id=0)
 
