@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import text as T
-from tessella.llm.common import components, materialize, release, salted_join, scratch, trimmed
+from tessella.llm.common import components, hot_join, materialize, release, salted_join, scratch, trimmed
 
 #: Most prefix shingles that a pair may be asked to share.
 MOST_MATCHES = 8
@@ -162,13 +162,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     same doc_id or another, are in one component. An empty table gives no rows.
     """
     with scratch() as made:
-        rows, lookup = _joined(docs.select(F.col("doc_id").cast("bigint"), "text"), size, num, den)
+        rows, lookup = _joined(docs.select(F.col("doc_id").cast("bigint"), "text"), size, num, den, made)
         release(docs.sparkSession, made, rows, lookup)
     out = salted_join(rows, lookup, ["cid"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _joined(docs: DataFrame, size: int, num: int, den: int, made: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, cid) and the component_id of each cid that isn't a row's alone, as tables."""
     screened = materialize(docs.mapInArrow(trimmed(_screen_rows(size, num, den)), "doc_id bigint, n bigint, cid bigint, pre array<bigint>"))
     usable = screened.where("n > 0 and doc_id is not null")
@@ -177,9 +177,12 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     # 1. Screening. Copies have one cid, so a shingle that only they hold isn't shared.
     tokens = usable.select("cid", F.explode("pre").alias("tok"))
     shared = tokens.groupBy("tok").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("tok", "c")
+    shared = materialize(shared)
     need = classes.select("cid", "rep", F.expr(f"copies * (1 + least(int({SCREEN} * n), greatest(ceil({num} * n / {den}) - 1, 0)))").alias("need"))
-    found = salted_join(tokens, shared.select("tok"), ["tok"], "left_semi", counts=shared).groupBy("cid").agg(F.count("*").alias("k"))
+    found = hot_join(tokens, shared.select("tok"), ["tok"], "left_semi", shared).groupBy("cid").agg(F.count("*").alias("k"))
     active = materialize(found.join(need, "cid").where("k >= need").select("cid", F.col("rep").alias("doc_id")))
+    named_rows = materialize(screened.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("cid")).alias("cid")))
+    release(docs.sparkSession, made, classes, active, named_rows)  # prefixes aren't read again
 
     # 2. Exact frequencies and prefixes of the classes that are left.
     few = active.count() <= BROADCAST_ROWS
@@ -188,8 +191,8 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
         sets = sets.dropDuplicates(["cid"])
     sets = materialize(sets)
     rows = sets.select("cid", F.explode("sh").alias("tok"))
-    df = rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    lists = salted_join(rows, df, ["tok"], counts=df.withColumnRenamed("df", "c")).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("ts")).join(sets.select("cid", "n"), "cid")
+    df = materialize(rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"))
+    lists = hot_join(rows, df, ["tok"], counts=df.withColumnRenamed("df", "c")).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("ts")).join(sets.select("cid", "n"), "cid")
     prefix = materialize(lists.select("cid", "n", "ts").mapInArrow(trimmed(_prefix_rows(num, den)), "tok bigint, pos bigint, cid bigint, n bigint, u bigint, l bigint"))
 
     # 3. Stars. In long lists every member is compared with the pivot, and keeps its difference.
@@ -227,4 +230,4 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     named = salted_join(named, named.groupBy("root").agg(F.min("rep").alias("component_id")), ["root"]).select("cid", "component_id")
     lookup = classes.select("cid", "rep", "copies").join(named, "cid", "left").where("copies > 1 or component_id is not null")
     lookup = materialize(lookup.select("cid", F.coalesce("component_id", "rep").alias("component_id")))
-    return materialize(screened.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("cid")).alias("cid"))), lookup
+    return named_rows, lookup
