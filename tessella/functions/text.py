@@ -97,7 +97,7 @@ def normalize_answer(text: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated values, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_last(text: Column, mark: str = "__") -> tuple[Column, Column]:
@@ -190,6 +190,33 @@ def reasoning_type(question: Column, actor: Column | None = None, subject: Colum
     return out
 
 
+# Where the subject of a question stands, by its class.
+SUBJECTS = {
+    "xReact": [r"\bhow (?:would|will|does|might) (\w+)\b", r"\bwhat (?:would|will) (\w+) feel\b", r"\bhow will (\w+) (?:react|respond)\b"],
+    "xWant": [r"\bwhat (?:will|would|does) (\w+) (?:want|do)\b", r"\bwhat will (\w+) (?:likely |probably )?do\b", r"\bwill (\w+) (?:want|do)\b"],
+    "xEffect": [r"\bhappen(?:s|ed)? to (\w+)\b"],
+}
+
+
+def question_subject(question: Column, label: Column) -> Column:
+    """Whom a question of a class is about, lower-cased: the first pattern that fits; else null."""
+    out = F.lit(None).cast("string")
+    for name, patterns in SUBJECTS.items():
+        found = F.coalesce(*[F.nullif(F.regexp_extract(question, "(?i)" + p, 1), F.lit("")) for p in patterns])
+        out = F.when(label == name, F.lower(found)).otherwise(out)
+    return out
+
+
+def asked(text: Column) -> Column:
+    """What follows ``Question:`` on its line, trimmed; without that the whole text."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_extract(text, r"Question:\s*([^\n]+)", 1)), F.lit("")), text)
+
+
+def subject_of_task(task: Column) -> Column:
+    """The subject in a task's name, mmlu_ taken off; null if empty."""
+    return F.nullif(F.regexp_replace(task, "^mmlu_", ""), F.lit(""))
+
+
 def first_known(text: Column, names: list[str]) -> Column:
     """The first known name among the words of the text's first sentence, lower-cased, or null."""
     first = F.element_at(F.split(F.trim(text), r"(?<=[.!?])\s+"), 1)

@@ -39,6 +39,11 @@ def record_id(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, r'"id"\s*:\s*"([^"]+)"', 1), F.lit(""))
 
 
+def dataset_path(path: Column, dataset: str) -> Column:
+    """A path in a data set, without datasets/<owner>/<name>/ before it."""
+    return F.when(path.startswith(f"datasets/{dataset}/"), F.substring(path, len(f"datasets/{dataset}/") + 1, 1 << 30)).otherwise(F.regexp_replace(path, "^datasets/[^/]*/[^/]*/", ""))
+
+
 def shard_folder(path: Column) -> Column:
     """The folder after a leading data/, else empty."""
     return F.when(path.startswith("data/"), F.split_part(path, F.lit("/"), F.lit(2))).otherwise("")

@@ -60,6 +60,12 @@ def per_query_bins(scores: DataFrame, bins: DataFrame) -> DataFrame:
     )
 
 
+def axis_order(grid: DataFrame, axis: str, known: tuple[str, ...], value: str = "abs_mean_score") -> DataFrame:
+    """Known labels of an axis with their totals and place, the largest first (ties by label)."""
+    totals = grid.where(F.col(axis).isin(*known)).groupBy(F.col(axis).alias("label")).agg(F.sum(value).alias("total"))
+    return totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "label")))  # 24 labels
+
+
 def z_scores(grid: DataFrame, value: str = "mean_score", by: tuple[str, ...] = (), zero_sigma: str = "null") -> DataFrame:
     """Adds zscore over each grid by the sample deviation; without spread null, or 0 if
     ``zero_sigma`` is "zero". Null and NaN values don't count and go."""

@@ -135,6 +135,12 @@ def rendered(compiled: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return compiled.withColumn("offsets", offsets(F.concat_ws("", "prompt", "target"), tokenizer)).withColumn("scored", mask)
 
 
+def zip_conflicts(compiled: DataFrame, rendered_: DataFrame) -> DataFrame:
+    """Places (ordinal) at which two ordered rosters (ordinal, query_id) don't name the same query."""
+    a, b = compiled.select("ordinal", F.col("query_id").alias("compiled_id")), rendered_.select("ordinal", F.col("query_id").alias("rendered_id"))
+    return a.join(b, "ordinal", "full_outer").where("not (compiled_id <=> rendered_id)")
+
+
 def spans_contiguous(rows: DataFrame) -> DataFrame:
     """Rendered queries whose scored words aren't one run, or are none."""
     on = F.filter(F.transform("scored", lambda s, i: F.when(s, i)), lambda x: x.isNotNull())

@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tessella.plans import queries as _  # noqa: F401
+    from tessella.plans import keys, queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

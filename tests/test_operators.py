@@ -363,3 +363,31 @@ def test_rendering_with_a_tokenizer(spark):
         assert [(x["id"], x["start"], x["end"]) for x in r["offsets"]] == [(i, *o) for i, o in zip(e.ids, e.offsets)]
         scored = {"a": [b > len(r["prompt"]) for _, b in e.offsets], "b": [False] * (len(e.ids) - 1) + [True], "c": [True] * len(e.ids)}[r["query_id"]]
         assert r["scored"] == scored
+
+
+def test_keys_are_selected_or_fail(spark):
+    index, queries, other = (spark.createDataFrame([(1, k, [1.0]) for k in ks], "id bigint, grad_key string, vec array<double>") for ks in (["b", "a", "c"], ["a", "b"], ["z"]))
+    assert scoring.select_keys(index, queries) == ["a", "b"] and scoring.select_keys(index, queries, "b") == ["b"]
+    for bad in (lambda: scoring.select_keys(index, queries, "c"), lambda: scoring.select_keys(queries, index, "c")):
+        with pytest.raises(KeyError):
+            bad()
+    with pytest.raises(ValueError):
+        scoring.select_keys(index, other)
+
+
+@pytest.mark.parametrize("rows,k", [([(1, 1, 0.5), (1, 1, 0.6)], None), ([(1, 1, math.nan)], None), ([(1, 1, math.inf)], None), ([(1, 1, None)], None), ([(1, 1, 0.5), (1, 2, 0.5), (2, 1, 0.5)], None), ([(1, 1, 0.5)], 2)])
+def test_scores_that_are_not_fit_for_top_k_fail(spark, rows, k):
+    with pytest.raises(ValueError):
+        scoring.checked(spark.createDataFrame(rows, "query_id bigint, doc_id bigint, score double"), k)
+
+
+def test_scores_fit_for_top_k_pass(spark):
+    rows = [(q, d, float(q - d)) for q in range(3) for d in range(4)]
+    assert scoring.checked(spark.createDataFrame(rows, "query_id bigint, doc_id bigint, score double"), 4).count() == 12
+    assert scoring.checked(spark.createDataFrame([], "query_id bigint, doc_id bigint, score double")).count() == 0
+
+
+def test_positions_in_shards_laid_end_to_end(spark):
+    shards = spark.createDataFrame([("a", 2), ("b", 0), ("c", 3)], "shard string, n bigint")
+    found = scoring.locate(spark.createDataFrame([(k,) for k in range(6)], "position bigint"), shards)
+    assert sorted(map(tuple, found.collect())) == [(0, "a", 0), (1, "a", 1), (2, "c", 0), (3, "c", 1), (4, "c", 2)]
