@@ -131,6 +131,7 @@ class BloomFile:
     """A Bloom filter in a file: magic line, JSON header line, bits. For exchange with other tools;
     in Spark, membership is a semi or anti join."""
 
+    # The file's first line, and (in `save`) the keys of its header.
     MAGIC = b"BLOOM1\n"
 
     def __init__(self, n: int, rate: float = 1e-3):
