@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # Labels in their order, which numbers the bins, and aliases.
-TOPICS = (
+TOPICS = [
     "software", "software_development", "electronics_and_hardware", "science_math_and_technology", "entertainment", "games", "literature",
     "art_and_design", "fashion_and_beauty", "food_and_dining", "home_and_hobbies", "sports_and_fitness", "social_life", "education_and_jobs", "religion",
     "politics", "finance_and_business", "industrial", "transportation", "health", "travel_and_tourism", "history_and_geography", "crime_and_law",
     "adult_content",
-)
-FORMATS = (
+]
+FORMATS = [
     "academic_writing", "nonfiction_writing", "creative_writing", "personal_blog", "news_article", "news_org", "audio_transcript", "knowledge_article",
     "faq", "q_a_forum", "tutorial", "documentation", "structured_data", "content_listing", "listicle", "product_page", "user_review", "customer_support",
     "spam_ads", "about_org", "about_pers", "legal_notices", "comment_section", "truncated",
-)
+]
 TOPIC_ALIASES = {
     "adult": "adult_content", "art_design": "art_and_design", "crime_law": "crime_and_law", "education_jobs": "education_and_jobs",
     "hardware": "electronics_and_hardware", "fashion_beauty": "fashion_and_beauty", "finance_business": "finance_and_business", "food_dining": "food_and_dining",
