@@ -153,6 +153,12 @@ def unexpected_keys(value: Column, allowed: list[str]) -> Column:
     return F.array_except(F.map_keys(value), F.array(*[F.lit(k) for k in allowed]))
 
 
+def answered(rows: DataFrame, letters: dict[str, str], prefix: str) -> DataFrame:
+    """Queries (prompt, completion, query_id, label) of rows (ordinal, prompt, answer, label); rows whose
+    answer has no letter go, and leave their number unused."""
+    return rows.withColumn("completion", text.lookup(letters, F.col("answer"))).where("completion is not null").select("prompt", "completion", F.concat(F.lit(f"{prefix}-"), "ordinal").alias("query_id"), "label")
+
+
 def option_lines(prompt: Column) -> Column:
     """Key and text of the option lines of a prompt, in order."""
     keys = F.regexp_extract_all(prompt, F.lit(r"(?m)^([A-Z])[.)] .+$"), 1)

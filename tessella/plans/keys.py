@@ -239,3 +239,14 @@ def dimension_counts(spark, d):
 def feature_composite(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("a"), text.word_count(F.col("text")).cast("double").alias("b"))
     return lexical.composite(rows, ["a", "b"]).select("doc_id", r6("composite").alias("composite"))
+
+
+@register("answered_queries", "SELECT p_name AS prompt, substr('ABC', (p_size % 4 + 1)::INT, 1) AS completion, 'set-' || p_partkey AS query_id, p_brand AS label FROM part WHERE p_size % 4 < 3")
+def answered_queries(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("prompt"), (F.col("p_size") % 4).cast("string").alias("answer"), F.col("p_brand").alias("label"))
+    return queryset.answered(rows, {"0": "A", "1": "B", "2": "C"}, "set")
+
+
+@register("benchmark_groups", f"SELECT benchmark_group, count(*) AS n, min(label) AS first_label FROM {S.values(taxonomy.BENCHMARKS)} b(benchmark, label, benchmark_group) GROUP BY 1")
+def benchmark_groups(spark, d):
+    return taxonomy.dim_benchmark(spark).groupBy("benchmark_group").agg(F.count("*").alias("n"), F.min("label").alias("first_label"))

@@ -25,6 +25,16 @@ TOPIC_ALIASES = {
 LABEL_PREFIX = "__label__"
 TYPOS = {"__label__electronics_and_hardare": "__label__electronics_and_hardware"}
 DISPLAY = {"faq": "FAQ", "q a forum": "Q&A Forum", "about org": "About Org", "about pers": "About Person", "news org": "News Org"}
+# The compared benchmarks, their labels and groups.
+BENCHMARKS = [
+    ("socialiqa", "SocialIQA", "social_reasoning"), ("mmlu_social_science", "MMLU-Social", "knowledge_recall"), ("arc_challenge", "ARC-Challenge", "knowledge_recall"),
+    ("mmlu_stem", "MMLU-STEM", "knowledge_recall"), ("bbh_snarks_instruct", "BBH Snarks", "commonsense_reasoning"),
+    ("bbh_causal_judgement_instruct", "BBH Causal-Judgement", "commonsense_reasoning"), ("bbh_sports_understanding_instruct", "BBH Sports-Understanding", "commonsense_reasoning"),
+]
+
+
+def dim_benchmark(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BENCHMARKS, "benchmark string, label string, benchmark_group string")
 
 
 def dim_topic(spark: SparkSession) -> DataFrame:

@@ -107,3 +107,57 @@ def test_hub_records_need_a_network(spark):
         spark.read.format("hub_records").load().collect()
     with pytest.raises(Exception, match="needs the datasets package"):
         spark.read.format("hub_records").option("repository", "r").option("files", "f").load().collect()
+
+
+def test_score_folders_and_their_ids(spark, tmp_path):
+    from tessella.sources import layout
+
+    for query in ("queries_a", "queries_b"):
+        for shard, values in (("s0", [1.0, 2.0]), ("s1", [3.0])):
+            folder = tmp_path / "scores" / query / "web" / shard
+            folder.mkdir(parents=True)
+            np.save(folder / "scores.npy", np.array(values))
+    (tmp_path / "scores" / "other").mkdir()
+    (tmp_path / "scores" / "queries_a" / "note.txt").write_text("x")
+    ids = tmp_path / "ids"
+    ids.mkdir()
+    (ids / "s0.jsonl").write_text('{"id": "d0"}\n\n{"id": "d1"}\n')
+    (ids / "s1.jsonl").write_text('{"id": "d2"}\n')
+    base = str(tmp_path / "scores")
+    assert layout.query_folders(spark, base) == ["queries_a", "queries_b"]
+    assert sorted((r["query"], r["shard"]) for r in layout.score_shards(spark, base).collect()) == [("queries_a", "s0"), ("queries_a", "s1"), ("queries_b", "s0"), ("queries_b", "s1")]
+    assert sorted(map(tuple, layout.query_scores(spark, base, "queries_a", str(ids)).collect())) == [("d0", 1.0), ("d1", 2.0), ("d2", 3.0)]
+    for bad in (lambda: layout.query_folders(spark, str(ids)), lambda: layout.query_folders(spark, str(tmp_path / "none")), lambda: layout.query_scores(spark, base, "queries_c", str(ids))):
+        with pytest.raises(FileNotFoundError):
+            bad()
+    (ids / "s1.jsonl").write_text('{"id": "d2"}\n{"id": "d3"}\n')
+    with pytest.raises(Exception, match="differ in length"):
+        layout.query_scores(spark, base, "queries_a", str(ids)).collect()
+
+
+def test_ids_of_an_index(spark, tmp_path):
+    import pyarrow as pa
+
+    from tessella.sources import layout
+
+    assert layout.id_field(spark, str(tmp_path), "id") is None
+    (tmp_path / "rows.jsonl").write_text('{"id": "a", "n": 1}\n\n{"id": "b"}\n')
+    (tmp_path / "index_config.json").write_text('{"data": {"dataset": "rows.jsonl"}}')
+    found = layout.id_field(spark, str(tmp_path), "id")
+    assert [r["value"] for r in found.orderBy("at").collect()] == ["a", "b"] and layout.id_field(spark, str(tmp_path), "n") is None
+    (tmp_path / "data.hf").mkdir()
+    with pa.OSFile(str(tmp_path / "data.hf" / "data-0.arrow"), "wb") as out, pa.ipc.new_stream(out, pa.schema([("id", pa.int64())])) as stream:
+        stream.write_batch(pa.record_batch([pa.array([7, 8])], ["id"]))
+        stream.write_batch(pa.record_batch([pa.array([9])], ["id"]))
+    assert [r["value"] for r in layout.id_field(spark, str(tmp_path), "id").orderBy("at").collect()] == ["7", "8", "9"]
+    (tmp_path / "index_config.json").write_text("not json")
+    assert layout.id_field(spark, str(tmp_path), "other") is None
+
+
+def test_masks_and_metadata(spark, tmp_path):
+    from tessella.sources import layout
+
+    (tmp_path / "mask.jsonl").write_text('{"is_correct": true}\n{}\n{"is_correct": false}\n')
+    assert [r["is_correct"] for r in layout.read_masks(spark, str(tmp_path / "mask.jsonl")).orderBy("at").collect()] == [True, False, False]
+    (tmp_path / "meta.jsonl").write_text('{"doc_id": "a", "v": 1}\n{"doc_id": null, "v": 2}\n{"doc_id": "a", "v": 3}\n{"doc_id": "b", "v": 4}\n')
+    assert sorted(map(tuple, layout.read_metadata(spark, str(tmp_path / "meta.jsonl")).collect())) == [("a", 3), ("b", 4)]
