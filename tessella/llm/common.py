@@ -17,6 +17,8 @@ from tessella.ship import ship
 
 #: Rows of a key from which `salted_join` splits it, and such keys at most.
 SPLIT_ROWS, HOT_KEYS = 64, 4096
+#: Edges up to which `components` splits every node into `FEW_SALTS`; beyond, it counts their edges.
+FEW_EDGES, FEW_SALTS = 1 << 18, 16
 #: Rows of an Arrow batch at most.
 TEXTS_PER_BATCH = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -92,15 +94,19 @@ def release(spark: SparkSession, made: list[str], *keep: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, salts: int | None = None) -> DataFrame:
     """``rows`` joined with ``unique`` (one row a key), hot keys split. ``how``: inner, left or left_semi.
 
     Rows are counted by key first (``counts``, of columns keys and c, says it where that is known). Of
     the keys with more than `SPLIT_ROWS` rows the `HOT_KEYS` most frequent, a table that is always small,
     are broadcast to both sides: their rows are dealt to more tasks the more there are, each with a
     copy of the key's row. Any other key has less than one in `HOT_KEYS` of the rows. Rows with a
-    null in the key, which match nothing, are dealt to all tasks.
+    null in the key, which match nothing, are dealt to all tasks. With ``salts`` nothing is counted, and
+    every key is split into as many: simpler, where ``unique`` is small.
     """
+    if salts is not None:
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+        return rows.withColumn("_salt", salt).join(unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], how).drop("_salt")
     most = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count("*").alias("c"))
@@ -143,15 +149,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _settled(spark: SparkSession, e: DataFrame, made: list[str]) -> DataFrame:
     """Rounds of large and small stars until nothing changes; only the last round's table stays."""
     before = None
+    edges = e.count()
     while True:
+        few = FEW_SALTS if edges <= FEW_EDGES else None
         both = e.unionByName(e.select(F.col("t").alias("s"), F.col("s").alias("t")))
         low = both.groupBy("s").agg(F.min("t").alias("m"), F.count("*").alias("c")).select("s", F.least("s", "m").alias("m"), "c")
-        large = salted_join(both, low.select("s", "m"), ["s"], counts=low.select("s", "c")).where("t > s").select(F.col("t").alias("s"), F.col("m").alias("t")).distinct()
+        large = salted_join(both, low.select("s", "m"), ["s"], counts=low.select("s", "c"), salts=few).where("t > s").select(F.col("t").alias("s"), F.col("m").alias("t")).distinct()
         low = large.groupBy("s").agg(F.min("t").alias("m"), F.count("*").alias("c"))
-        small = salted_join(large, low.select("s", "m"), ["s"], counts=low.select("s", "c")).where("t != m").select(F.col("t").alias("s"), F.col("m").alias("t"))
+        small = salted_join(large, low.select("s", "m"), ["s"], counts=low.select("s", "c"), salts=few).where("t != m").select(F.col("t").alias("s"), F.col("m").alias("t"))
         e = materialize(small.unionByName(low.select("s", F.col("m").alias("t"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("s", "t").cast("decimal(38,0)"))).first()
         release(spark, made, e)
         if now == before:
             return e
-        before = now
+        before, edges = now, now[0]
