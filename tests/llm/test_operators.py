@@ -76,11 +76,9 @@ def edited(text, rng, k):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("few", [1 << 18, 0])
-def test_components(spark, monkeypatch, few):
+def test_components(spark, monkeypatch):
     from tessella.llm import common
 
-    monkeypatch.setattr(common, "FEW_EDGES", few)
     monkeypatch.setattr(common, "SPLIT_ROWS", 4)
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)] + [(2000, 2000 + k) for k in range(1, 40)]
