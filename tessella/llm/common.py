@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 import threading
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -140,18 +141,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("s").alias("node"), F.col("t").alias("root")).unionByName(e.select(F.col("t").alias("node"), F.col("t").alias("root")).distinct())
 
 
+def _with_lowest(edges: DataFrame, salts: int) -> DataFrame:
+    """Edges (s, t) with m, the lowest t of each s. A hub's edges are dealt to ``salts`` tasks; what meets in
+    one task is their minima. A node has no more of them than edges, so nodes of few edges cost no copies."""
+    dealt = edges.withColumn("_salt", F.pmod(F.xxhash64("t"), F.lit(salts)))
+    low = dealt.groupBy("s", "_salt").agg(F.min("t").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("s")))
+    return dealt.join(low, ["s", "_salt"]).drop("_salt")
+
+
 def _settled(spark: SparkSession, e: DataFrame, made: list[str]) -> DataFrame:
-    """Rounds of large and small stars until nothing changes; only the last round's table stays."""
-    before = None
+    """Rounds of large and small stars until nothing changes; only the last round's table stays. With the
+    square root of all edges as salts, a hub has about as many edges in a task, and no more minima."""
+    before, edges = None, e.count()
     while True:
+        salts = math.isqrt(edges) + 1
         both = e.unionByName(e.select(F.col("t").alias("s"), F.col("s").alias("t")))
-        low = both.groupBy("s").agg(F.min("t").alias("m"), F.count("*").alias("c")).select("s", F.least("s", "m").alias("m"), "c")
-        large = salted_join(both, low.select("s", "m"), ["s"], counts=low.select("s", "c")).where("t > s").select(F.col("t").alias("s"), F.col("m").alias("t")).distinct()
-        low = large.groupBy("s").agg(F.min("t").alias("m"), F.count("*").alias("c"))
-        small = salted_join(large, low.select("s", "m"), ["s"], counts=low.select("s", "c")).where("t != m").select(F.col("t").alias("s"), F.col("m").alias("t"))
-        e = materialize(small.unionByName(low.select("s", F.col("m").alias("t"))).distinct())
+        large = _with_lowest(both, salts).where("t > s").select(F.col("t").alias("s"), F.least("s", "m").alias("t")).distinct()
+        small = _with_lowest(large, salts).select(F.explode(F.array(F.struct(F.col("s"), F.col("m").alias("t")), F.struct(F.col("t").alias("s"), F.col("m").alias("t")))).alias("e"))
+        e = materialize(small.select("e.s", "e.t").where("s != t").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("s", "t").cast("decimal(38,0)"))).first()
         release(spark, made, e)
         if now == before:
             return e
-        before = now
+        before, edges = now, now[0]
