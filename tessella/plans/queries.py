@@ -10,7 +10,7 @@ from tessella.functions import numbers, text, web
 from tessella.operators import bins, evidence, integrity, lexical, queryset, records, sampling, scoring, statistics
 from tessella.plans import sqltext as S
 from tessella.plans.catalog import register
-from tessella.plans.tables import gamma, line_scores, manifest, order_bins, query_ids, scores, table, vector_bins, vectors
+from tessella.plans.tables import gamma, line_scores, manifest, modules, order_bins, query_ids, scores, table, vector_bins, vectors
 from tessella.streaming import events as streams
 
 
@@ -440,9 +440,9 @@ def dot_topk_global(spark, d):
 
 @register("multi_key_scores", f"WITH {S.SCORES} SELECT doc_id, query_id, round(score, 6) AS score, round(score / 2, 6) AS mean_score FROM scores")
 def multi_key_scores(spark, d):
-    index, queries = vectors(spark, d, keys=True)
-    total, mean = scoring.pair_scores(index, queries), scoring.pair_scores(index, queries, mean=True).withColumnRenamed("score", "m")
-    return total.join(mean, ["doc_id", "query_id"]).select("doc_id", "query_id", r6("score").alias("score"), r6("m").alias("mean_score"))
+    found = scoring.key_scores(*modules(spark, d))
+    mean = F.col("score") / F.col("n_keys")
+    return found.select("doc_id", "query_id", numbers.half_away(F.col("score"), 6).alias("score"), numbers.half_away(mean, 6).alias("mean_score"))
 
 
 @register("key_space", "SELECT k AS grad_key, count(*) AS n_rows, 32 AS min_width, 32 AS max_width FROM embeddings, (VALUES ('k0'), ('k1')) v(k) GROUP BY 1")

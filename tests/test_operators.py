@@ -145,6 +145,37 @@ def test_block_scores_equal_pair_scores(spark, monkeypatch):
         assert {(r["query_id"], r["doc_id"], r["rank"]) for r in top.collect()} == {(r["query_id"], r["doc_id"], r["rank"]) for r in scoring.top_k(scoring.block_scores(index, queries), 3).collect()}
 
 
+def test_key_scores_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    width = {"a": 3, "b": 5, "c": 2}
+    sides = [{(f"{x}{n}", k): rng.normal(size=width[k]).tolist() for n in range(size) for k in keys if rng.random() < 0.7} for x, size, keys in (("d", 60, "ab"), ("q", 9, "abc"))]
+    sides[0]["d0", "a"], sides[0]["d1", "b"], sides[1]["q0", "b"] = None, [1.0, None, 0.0, 0.0, 0.0], [math.inf] * 5
+    index, queries = (spark.createDataFrame([(i, k, v) for (i, k), v in side.items()], "id string, grad_key string, vec array<double>").cache() for side in sides)
+    want = {}
+    for (d, k), a in sides[0].items():
+        for (q, other), b in sides[1].items():
+            if k == other:
+                want.setdefault((d, q), []).append(None if a is None or None in a else float(np.sum(np.multiply(a, b))))
+    for size, batch in ((1 << 20, 1 << 18), (300, 20)):
+        monkeypatch.setattr(scoring, "QUERY_BYTES", size), monkeypatch.setattr(scoring, "BATCH_SCORES", batch)
+        found = scoring.key_scores(scoring.module_rows(index), scoring.module_rows(queries)).collect()
+        got = {(r["doc_id"], r["query_id"]): (r["score"], r["n_keys"]) for r in found}
+        means = {(r["doc_id"], r["query_id"]): r["score"] for r in scoring.pair_scores(index, queries, mean=True).collect()}
+        assert len(found) == len(want) and got.keys() == want.keys() == means.keys()
+        for pair, parts in want.items():
+            total = None if None in parts else sum(parts)
+            assert got[pair][1] == len(parts) and got[pair][0] == (None if total is None else pytest.approx(total, nan_ok=True))
+            assert means[pair] == (None if total is None else pytest.approx(total / len(parts), nan_ok=True))
+    assert scoring.pair_scores(index, queries.where("false")).count() == scoring.pair_scores(index.where("false"), queries).count() == 0
+
+
+def test_half_away_rounds_as_sql_does(spark):
+    duckdb = pytest.importorskip("duckdb")
+    values = [0.5e-6, -0.5e-6, 1.5e-6, 2.5e-6, -2.5e-6, 0.4999999e-6, -1e-9, 0.0, 0.1234565, 123456789.1234565, 4503599627.3704965, 1e300, 1.7e308, -math.inf, math.nan, None]
+    got = [r[0] for r in spark.createDataFrame(enumerate(values), "k int, x double").orderBy("k").select(numbers.half_away(F.col("x"), 6)).collect()]
+    assert list(map(repr, got)) == [repr(duckdb.connect().execute("SELECT round(?::DOUBLE, 6)", [x]).fetchall()[0][0]) for x in values]
+
+
 def test_top_k_breaks_ties_by_id(spark):
     got = scoring.top_k(score_frame(spark, [("b", 0, 1.0), ("a", 0, 1.0), ("c", 0, 2.0), ("d", 0, 0.0)]), 3).orderBy("rank")
     assert [r["doc_id"] for r in got.collect()] == ["c", "a", "b"]

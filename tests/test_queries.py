@@ -58,6 +58,22 @@ def explained(df, capsys):
     return capsys.readouterr().out
 
 
+def test_multi_key_scores_of_odd_rows_equal_sql(spark, tmp_path):
+    made = [(k, [float((k * 7 + j * 3) % 11 - 5) / 3 for j in range(64)]) for k in (0, 1, 2, 50, 50, 99, 100)] + [(3, None), (150, None)]
+    spark.createDataFrame(made, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["multi_key_scores"]).fetchall()
+    got = catalog.queries()["multi_key_scores"](spark, str(tmp_path)).select("doc_id", "query_id", "score", "mean_score").collect()
+    assert len(want) == 9 * 5 and sorted((tuple(map(plain, r)) for r in got), key=str) == sorted((tuple(map(plain, r)) for r in want), key=str)
+
+
+def test_multi_key_scores_shuffle_no_pairs(spark, capsys):
+    plan = explained(catalog.queries()["multi_key_scores"](spark, DATA), capsys)
+    assert "Join" not in plan and plan.count("Exchange") == 2  # in the tree and in its details: documents alone, below the products
+    assert plan.index("MapInArrow") < plan.index("Exchange")
+
+
 def test_top_k_is_cut_before_the_shuffle(spark, capsys):
     assert explained(catalog.queries()["candidate_argmax_tie"](spark, DATA), capsys).count("Exchange") >= 1
     assert "WindowGroupLimit" in explained(catalog.queries()["stratified_sample"](spark, DATA), capsys)
