@@ -105,3 +105,57 @@ def test_pivot_and_modules_hold_the_whole_table(spark, tmp_path):
     assert rows["en"]["src3"] == rows["en"]["web"] == rows["fr"]["null"] == 1
     index, _ = tables.vectors(spark, str(tmp_path), keys=True)
     assert sorted(len(r["vec"]) for r in index.collect()) == [32, 38]
+
+
+def odd_embeddings(spark, path, labels=True):
+    """128 documents, eight of them queries: ids that come twice, no vectors, no labels."""
+    made = [(k, [float((k * k * 7 + k * j * 3 + j) % 97 - 48) / 3 for j in range(64)], k % 10) for k in [*range(120), 50, 7, 100, 150]]
+    made += [(121, None, 3), (200, None, 4), (122, [0.5] * 64, None), (250, [0.5] * 64, None)]
+    spark.createDataFrame(made, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/embeddings.parquet/*.parquet'")
+    return con
+
+
+def odd_rows_equal_sql(spark, path, name):
+    con = odd_embeddings(spark, path)
+    found = con.execute(catalog.oracle_sql()[name])
+    columns, want = [c[0] for c in found.description], found.fetchall()
+    df = catalog.queries()[name](spark, str(path))
+    got = [tuple(r[c] for c in columns) for r in df.collect()]
+    assert sorted(df.columns) == sorted(columns) and want
+    assert sorted((tuple(map(plain, r)) for r in got), key=str) == sorted((tuple(map(plain, r)) for r in want), key=str)
+
+
+def pairs_made(df):
+    """Most rows that a part of the plan hands on, as Spark counted them when the query ran."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        rows = node.metrics().get("pythonNumRowsReceived")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+#: Queries on scores that hand on no row a pair: at most two rows a document, or so many a query.
+NO_PAIRS = "wide_scores".split()
+
+
+@pytest.mark.parametrize("name", NO_PAIRS)
+def test_query_on_scores_makes_no_pairs(spark, name):
+    documents = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert pairs_made(catalog.queries()[name](spark, DATA)) <= 2 * documents
+
+
+@pytest.mark.parametrize("name", [name for name in NO_PAIRS if name != "checked_topk"])
+def test_query_on_scores_of_odd_rows_equals_sql(spark, tmp_path, name):
+    odd_rows_equal_sql(spark, tmp_path, name)
