@@ -10,7 +10,7 @@ from tessella.functions import numbers, text, web
 from tessella.operators import bins, evidence, integrity, lexical, queryset, records, sampling, scoring, statistics
 from tessella.plans import sqltext as S
 from tessella.plans.catalog import register
-from tessella.plans.tables import gamma, line_scores, manifest, modules, order_bins, scores, table, vector_bins, vectors
+from tessella.plans.tables import gamma, line_scores, manifest, mean_scores, modules, order_bins, scores, table, vector_bins, vectors
 from tessella.streaming import events as streams
 
 
@@ -299,7 +299,7 @@ def contrast_verdict(spark, d):
 
 @register("topic_marginals", f"WITH {S.GRID} SELECT topic, round(avg(mean_score), 6) AS mean_score, sum(doc_count)::BIGINT AS doc_count FROM grid GROUP BY 1")
 def topic_marginals(spark, d):
-    return bins.marginal_means(bins.score_bins(scores(spark, d), vector_bins(spark, d)), "topic").select("topic", r6("mean_score").alias("mean_score"), "doc_count")
+    return bins.marginal_means(bins.score_bins(mean_scores(spark, d), vector_bins(spark, d)), "topic").select("topic", r6("mean_score").alias("mean_score"), "doc_count")
 
 
 @register("significant_bins")
