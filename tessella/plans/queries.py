@@ -266,9 +266,10 @@ def bin_zscore(spark, d):
 
 def two_grids(spark, d) -> tuple[DataFrame, DataFrame]:
     """The grids of queries with small and with large labels."""
-    label = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), (F.col("label") >= 5).cast("int").alias("k"))
-    held, where = scores(spark, d).join(label, "query_id"), vector_bins(spark, d)
-    return tuple(bins.z_scores(bins.score_bins(held.where(F.col("k") == k), where)) for k in (0, 1))
+    label = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("k"))
+    (index, queries), where = vectors(spark, d), vector_bins(spark, d)
+    held = queries.join(label, "id")
+    return tuple(bins.z_scores(bins.score_bins(scoring.mean_scores(index, held.where(F.col("k") == k)), where)) for k in (0, 1))
 
 
 _TWO = ", ".join(

@@ -109,7 +109,7 @@ def test_pivot_and_modules_hold_the_whole_table(spark, tmp_path):
 
 def odd_embeddings(spark, path, labels=True):
     """128 documents, eight of them queries: ids that come twice, no vectors, no labels."""
-    made = [(k, [float((k * k * 7 + k * j * 3 + j) % 97 - 48) / 3 for j in range(64)], k % 10) for k in [*range(120), 50, 7, 100, 150]]
+    made = [(k, [float((k * k * 7 + k * j * 3 + j) % 251 - 125) / 3 for j in range(64)], k % 10) for k in [*range(120), 50, 7, 100, 150]]
     made += [(121, None, 3), (200, None, 4), (122, [0.5] * 64, None), (250, [0.5] * 64, None)]
     spark.createDataFrame(made, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
     con = duckdb.connect()
@@ -147,7 +147,7 @@ def pairs_made(df):
 
 
 #: Queries on scores that hand on no row a pair: at most two rows a document, or so many a query.
-NO_PAIRS = "wide_scores topic_marginals".split()
+NO_PAIRS = "wide_scores topic_marginals contrastive_bins".split()
 
 
 @pytest.mark.parametrize("name", NO_PAIRS)
