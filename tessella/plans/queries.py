@@ -261,7 +261,7 @@ def bin_perquery_quantiles(spark, d):
 
 @register("bin_zscore", f"WITH {S.GRID} SELECT topic, format, round((mean_score - avg(mean_score) OVER ()) / stddev_samp(mean_score) OVER (), 6) AS zscore FROM grid")
 def bin_zscore(spark, d):
-    return bins.z_scores(bins.score_bins(scores(spark, d), vector_bins(spark, d))).select("topic", "format", r6("zscore").alias("zscore"))
+    return bins.z_scores(bins.score_bins(mean_scores(spark, d), vector_bins(spark, d))).select("topic", "format", r6("zscore").alias("zscore"))
 
 
 def two_grids(spark, d) -> tuple[DataFrame, DataFrame]:
