@@ -229,7 +229,7 @@ def dedup_keep_first(spark, d):
 
 @register("score_bin_rank", f"WITH {S.GRID}, z AS (SELECT *, (mean_score - avg(mean_score) OVER ()) / stddev_samp(mean_score) OVER () AS z FROM grid) SELECT topic, format, round(mean_score, 6) AS mean_score, round(abs_mean_score, 6) AS abs_mean_score, round(std_score, 6) AS std_score, doc_count, round(z, 6) AS zscore FROM z ORDER BY round(z, 6) DESC, topic, format LIMIT 20")
 def score_bin_rank(spark, d):
-    z = bins.z_scores(bins.score_bins(scores(spark, d), vector_bins(spark, d)))
+    z = bins.z_scores(bins.score_bins(mean_scores(spark, d), vector_bins(spark, d)))
     z = z.select("topic", "format", *[r6(c).alias(c) for c in ("mean_score", "abs_mean_score", "std_score", "zscore")], "doc_count")
     return bins.top(z, F.col("zscore"), 20, "topic", "format")
 
