@@ -185,7 +185,7 @@ def selected_keys(spark, d):
 
 @register("checked_topk", f"WITH {S.SCORES} SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 3")
 def checked_topk(spark, d):
-    return scoring.top_k(scoring.checked(scores(spark, d), 3), 3).select("query_id", "doc_id", "rank")
+    return scoring.checked_top_k(*vectors(spark, d), 3).select("query_id", "doc_id", "rank")
 
 
 @register("located_rows", "WITH s AS (SELECT o_orderstatus AS shard, count(*) AS n, sum(count(*)) OVER (ORDER BY o_orderstatus) AS e FROM orders GROUP BY 1), p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders) SELECT o_orderkey, position, shard, (position - (e - n))::BIGINT AS \"offset\" FROM p JOIN s ON position >= e - n AND position < e")

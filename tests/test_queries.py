@@ -147,7 +147,7 @@ def pairs_made(df):
 
 
 #: Queries on scores that hand on no row a pair: at most two rows a document, or so many a query.
-NO_PAIRS = "wide_scores topic_marginals contrastive_bins correctness_diff bin_zscore score_bin_rank".split()
+NO_PAIRS = "wide_scores topic_marginals contrastive_bins correctness_diff bin_zscore score_bin_rank checked_topk".split()
 
 
 @pytest.mark.parametrize("name", NO_PAIRS)
@@ -159,3 +159,15 @@ def test_query_on_scores_makes_no_pairs(spark, name):
 @pytest.mark.parametrize("name", [name for name in NO_PAIRS if name != "checked_topk"])
 def test_query_on_scores_of_odd_rows_equals_sql(spark, tmp_path, name):
     odd_rows_equal_sql(spark, tmp_path, name)
+
+
+@pytest.mark.parametrize("name", ["checked_topk"])
+def test_equal_vectors_tie(spark, tmp_path, name):
+    """Equal vectors have equal scores to the last bit, so they are ranked by their ids."""
+    made = [(k, [math.sin((k if k % 50 == 0 else k % 3) * 64 + j) for j in range(64)]) for k in range(157)]
+    spark.createDataFrame(made, "vec_id bigint, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = con.execute(catalog.oracle_sql()[name])
+    columns, want = [c[0] for c in found.description], found.fetchall()
+    assert sorted(tuple(r[c] for c in columns) for r in catalog.queries()[name](spark, str(tmp_path)).collect()) == sorted(want)
