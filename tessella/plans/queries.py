@@ -405,7 +405,7 @@ def merge_typo_labels(spark, d):
 
 @register("score_stats", f"WITH {S.SCORES} SELECT query_id, count(*) AS n, round(sum(score), 6) AS total, round(min(score), 6) AS lowest, round(max(score), 6) AS highest, round(avg(score), 6) AS mean FROM scores GROUP BY 1")
 def score_stats(spark, d):
-    return bins.score_statistics(scores(spark, d), ("query_id",)).select("query_id", "n", *[r6(c).alias(c) for c in ("total", "lowest", "highest", "mean")])
+    return scoring.query_statistics(*vectors(spark, d)).select("query_id", "n", *[r6(c).alias(c) for c in ("total", "lowest", "highest", "mean")])
 
 
 @register("nonzero_fraction", "SELECT l_linenumber AS query_id, round(count(*) FILTER (WHERE l_discount != 0) / count(*), 6) AS nonzero_fraction FROM lineitem GROUP BY 1")
