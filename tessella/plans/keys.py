@@ -9,7 +9,7 @@ from tessella.functions import numbers, text, web
 from tessella.operators import bins, evidence, lexical, queryset, records, sampling, scoring, statistics
 from tessella.plans import sqltext as S
 from tessella.plans.catalog import register
-from tessella.plans.tables import gamma, manifest, scores, table, vector_bins, vectors
+from tessella.plans.tables import gamma, manifest, mean_scores, table, vector_bins, vectors
 
 
 def r6(c):
@@ -202,7 +202,7 @@ def axis_order(spark, d):
 
 @register("zscore_zero_sigma", f"WITH {S.GRID} SELECT topic, format, round(coalesce((mean_score - avg(mean_score) OVER w) / nullif(stddev_samp(mean_score) OVER w, 0), 0), 6) AS zscore FROM grid WINDOW w AS (PARTITION BY topic)")
 def zscore_zero_sigma(spark, d):
-    grid = bins.score_bins(scores(spark, d), vector_bins(spark, d))
+    grid = bins.score_bins(mean_scores(spark, d), vector_bins(spark, d))
     return bins.z_scores(grid, by=("topic",), zero_sigma="zero").select("topic", "format", r6("zscore").alias("zscore"))
 
 
