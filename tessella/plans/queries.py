@@ -436,7 +436,7 @@ def dot_topk(spark, d):
 
 @register("dot_topk_global", f"WITH {S.SCORES} SELECT query_id, doc_id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, doc_id LIMIT 25")
 def dot_topk_global(spark, d):
-    return scoring.top_k_all(scores(spark, d), 25).select("query_id", "doc_id", r6("score").alias("score"))
+    return scoring.top_k_all(scoring.block_scores(*vectors(spark, d), k=25, each=False), 25).select("query_id", "doc_id", r6("score").alias("score"))
 
 
 @register("multi_key_scores", f"WITH {S.SCORES} SELECT doc_id, query_id, round(score, 6) AS score, round(score / 2, 6) AS mean_score FROM scores")
