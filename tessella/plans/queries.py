@@ -10,7 +10,7 @@ from tessella.functions import numbers, text, web
 from tessella.operators import bins, evidence, integrity, lexical, queryset, records, sampling, scoring, statistics
 from tessella.plans import sqltext as S
 from tessella.plans.catalog import register
-from tessella.plans.tables import gamma, line_scores, manifest, mean_scores, modules, order_bins, scores, table, vector_bins, vectors
+from tessella.plans.tables import gamma, line_scores, manifest, mean_scores, modules, order_bins, table, vector_bins, vectors
 from tessella.streaming import events as streams
 
 
@@ -599,7 +599,8 @@ def selectivity(spark, d):
 
 @register("best_topic", f"WITH {S.SCORES}, {S.VECTOR_BINS}, b AS (SELECT 'q' || (query_id % 4) AS benchmark, topic, format, avg(score) AS zscore FROM scores JOIN vbins USING (doc_id) GROUP BY 1, 2, 3) SELECT benchmark, topic, round(zscore, 6) AS zscore FROM b QUALIFY row_number() OVER (PARTITION BY benchmark ORDER BY b.zscore DESC, topic, format) = 1")
 def best_topic(spark, d):
-    g = scores(spark, d).join(vector_bins(spark, d), "doc_id").groupBy(F.concat(F.lit("q"), (F.col("query_id") % 4).cast("string")).alias("benchmark"), "topic", "format").agg(F.avg("score").alias("zscore"))
+    sums = scoring.score_sums(*vectors(spark, d), F.concat(F.lit("q"), (F.col("id") % 4).cast("string")))
+    g = sums.join(vector_bins(spark, d), "doc_id").groupBy(F.col("by").alias("benchmark"), "topic", "format").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("zscore"))
     return statistics.best_topic(g).withColumn("zscore", r6("zscore"))
 
 
